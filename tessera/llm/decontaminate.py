@@ -108,7 +108,7 @@ def matcher(items: list[tuple[int, str]], rate: float = RATE) -> Callable[[str |
         for k, found in starts.items():
             item, e, own = texts[k], errors[k], grams[k]
             n, best, done = len(item), None, -1 << 60
-            need = len(item) - GRAM + 1 - GRAM * e
+            need = len(own) - GRAM * e
             for s in sorted(found):
                 if s <= done:  # the window before holds this one
                     continue
@@ -116,7 +116,7 @@ def matcher(items: list[tuple[int, str]], rate: float = RATE) -> Callable[[str |
                 window = t[max(0, s - e) : s + 2 * e + n]
                 if need > 0:
                     has = {window[i : i + GRAM] for i in range(len(window) - GRAM + 1)}
-                    if sum(g in has for g in own) < need - (len(item) - GRAM + 1 - len(own)):
+                    if len(own & has) < need:
                         continue
                 d, _ = myers(item, window)
                 if d <= e and (best is None or d < best):

@@ -42,7 +42,7 @@ EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum",
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "һ": "h", "ԁ": "d", "к": "k",
     "м": "m", "т": "t", "в": "b", "н": "h", "α": "a", "ο": "o", "ρ": "p", "ν": "v", "ι": "i", "κ": "k", "τ": "t", "υ": "u", "ε": "e",
-    "@": "a", "$": "s", "€": "e", "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
+    "@": "a", "$": "s", "€": "e", "\u200b": "", "\u200c": "", "\u200d": "", "\u2060": "", "\ufeff": "", "\u00ad": "",
 }
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 FULLWIDTH = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, entries: int
     lexicon = {w: math.log(50.0) for w in SEED}
     if n1:
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-        found = per.where(F.col("f") != "").where(F.col("n1") >= max(3, 0.02 * n1)).where(F.col("n1") > 20 * F.col("n0") * (n1 / max(1, n0))).select("f", "n1", "n0", odds.alias("w"))
+        found = per.where(F.col("f") != "").where(F.col("n1") >= max(4, 0.02 * n1)).where(F.col("n1") > 20 * F.col("n0") * (n1 / max(1, n0))).select("f", "n1", "n0", odds.alias("w"))
         top = found.orderBy(F.desc("n1"), F.desc(F.length("f")), "f").limit(entries).collect()
         seeds = set(SEED)
         used = {r["f"]: r for r in top}
