@@ -25,14 +25,15 @@ KEY = "tessera"
 EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9])?@(?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,24}"
 CARD = r"[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-PHONE = r"(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
+PHONE = r"(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 DATE = r"(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|[0-9]{2}[/.][0-9]{2}[/.](?:19|20)[0-9]{2}"
 KINDS = {"email": EMAIL, "card": CARD, "ssn": SSN, "phone": PHONE, "date": DATE, "ip": IPV4}
 #: One scan finds all kinds; the leftmost wins, then the earlier kind.
+BEFORE = r"(?<![A-Za-z0-9_])(?<![0-9][.-])"
 AFTER = r"(?![A-Za-z0-9_]|[.-][0-9])"
-NUMBERS = r"(?<![A-Za-z0-9_])(?=[0-9(+])(?:" + "|".join(KINDS[k] for k in ("card", "ssn", "phone", "date", "ip")) + ")" + AFTER
-ANY = r"(?<![A-Za-z0-9_])(?:" + EMAIL + r"|(?=[0-9(+])(?:" + "|".join(KINDS[k] for k in ("card", "ssn", "phone", "date", "ip")) + "))" + AFTER
+NUMBERS = BEFORE + r"(?=[0-9(+])(?:" + "|".join(KINDS[k] for k in ("card", "ssn", "phone", "date", "ip")) + ")" + AFTER
+ANY = BEFORE + r"(?:" + EMAIL + r"|(?=[0-9(+])(?:" + "|".join(KINDS[k] for k in ("card", "ssn", "phone", "date", "ip")) + "))" + AFTER
 
 
 def mixed(value: Column, label: str, k: int, size: Column | int) -> Column:

@@ -1,0 +1,300 @@
+"""The ten operators against brute force, exact round trips and odd rows."""
+
+import base64
+import json
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tessera.llm import components, decontaminate, html_text, media, mixing, pseudonyms, secrets, simhash, token_output, toxicity, url_graph
+
+LONG = "alpha beta gamma delta " * 5000
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (5, LONG), (None, "no id here"), (6, "é è  ü x"), (7, "tie one two three"), (8, "tie one two three")]
+
+
+def docs(spark, rows=ODD):
+    """Odd rows with columns whose names clash with those the operators use inside."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumn("score", F.lit("x")).withColumn("fp", F.lit(1)).withColumn("tie", F.lit("t")).withColumn("n", F.lit(0)).withColumn("u", F.lit(0))
+
+
+def nothing(spark):
+    return docs(spark).where("false")
+
+
+def test_elias_fano_selects_what_it_was_given():
+    rng = np.random.default_rng(1)
+    for n, top in ((1, 1), (1, 10**9), (64, 64), (65, 10**6), (500, 40)):
+        v = np.sort(rng.integers(0, top, n))
+        e = token_output.EliasFano.from_bytes(token_output.EliasFano.build(v).to_bytes())
+        assert e.decode().tolist() == v.tolist() == [e.select(k) for k in range(n)]
+
+
+def test_tokens_round_trip(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(token_output.tokenizer_file())
+    rows = sorted(token_output.tokens_on_disk(docs(spark)).collect(), key=lambda r: r.start)
+    texts = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
+    start = 0
+    for r, (d, t) in zip(rows, texts, strict=True):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(ids))
+        start += len(ids)
+    assert token_output.tokens_on_disk(nothing(spark)).count() == 0
+
+
+def test_shard_offers_single_documents(spark, tmp_path):
+    m = token_output.write_shards(docs(spark), f"file://{tmp_path}/shards", token_output.tokenizer_file()).collect()
+    seen = []
+    for row in sorted(m, key=lambda r: r.base):
+        s = token_output.Shard(row.path)
+        for k in range(s.n_docs):
+            a, b = s.bounds(k)
+            assert s.tokens(a, b)[-1] == 0
+            seen.append(s.doc_id(k))
+    assert seen == [None, 1, 2, 3, 4, 4, 5, 6, 7, 8]
+
+
+def reference_fingerprint(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute_components(rows):
+    fp = [reference_fingerprint(t) for _, t in rows]
+    own = list(range(len(rows)))
+    for _ in rows:
+        for i in range(len(rows)):
+            for j in range(len(rows)):
+                if (fp[i] ^ fp[j]).bit_count() <= 4:
+                    own[i] = own[j] = min(own[i], own[j])
+    ids = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            ids[own[i]] = min(d, ids.get(own[i], d))
+    return sorted((repr(d), f"{fp[i]:016x}", repr(ids.get(own[i], d))) for i, (d, _) in enumerate(rows))
+
+
+def test_simhash_components(spark):
+    base = " ".join(f"w{k * 37 % 101}" for k in range(300))
+    near = [(20 + k, base.replace(f"w{k}", "other", 1)) for k in range(12)]
+    rows = ODD + [(19, base), *near, (40, base.upper())]
+    got = simhash.near_duplicates(docs(spark, rows), most=4)
+    assert sorted((repr(r.doc_id), r.fingerprint, repr(r.component_id)) for r in got.collect()) == brute_components(rows)
+    kept = simhash.keep_one(docs(spark, rows), most=4)
+    assert kept.columns == docs(spark).columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id) == sorted({r.doc_id for r in got.collect() if r.doc_id is not None and r.doc_id == r.component_id})
+    assert simhash.near_duplicates(nothing(spark)).count() == 0
+
+
+def test_gray_index_loses_no_link():
+    rng = np.random.default_rng(2)
+    for n in (3, 20, 200, 700):
+        v = rng.integers(0, 2**63, max(1, n // 20), dtype=np.uint64)[rng.integers(0, max(1, n // 20), n)]
+        for _ in range(3):
+            v = v ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)) * (rng.random(n) < 0.7)
+        v = np.unique(v)
+        i, j = np.triu_indices(len(v), 1)
+        hit = np.bitwise_count(v[i] ^ v[j]) <= 4
+        want = simhash.roots(len(v), i[hit], j[hit])
+        at = {x: k for k, x in enumerate(v.tolist())}
+        half = len(v) // 2
+        for stars in (simhash.link(v.copy()), simhash.link(v[:half].copy()) + simhash.link(v[half:].copy()) + simhash.link(v[:half].copy(), 4, v[half:].copy()) if half else simhash.link(v.copy())):
+            a, b = (np.array([at[s[k]] for s in stars], int) for k in (0, 1))
+            assert (simhash.roots(len(v), a, b) == want).all()
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a long, b long")
+    got = dict(map(tuple, components.connected_components(edges).collect()))
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100}
+
+
+def labelled(spark):
+    clean = [(k, f"plain words about gardens number {k} and nothing else at all") for k in range(200)]
+    bad = [(1000 + k, f"you are an idiot and a zorkel{'abc'[k % 3]} zorkel{'xyz'[k % 3]} number {k * 7} of them") for k in range(120)]
+    labels = spark.createDataFrame([(d, 1, int(d >= 1000)) for d, _ in clean + bad] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    return clean + bad, labels
+
+
+def test_toxicity_learns_and_folds(spark):
+    rows, labels = labelled(spark)
+    model = toxicity.fit(docs(spark, rows), labels)
+    f = model.scorer()
+    assert f("what an 1d10t you are, a total іdiоt, idiot") >= 0.7 > f("a calm text on gardens") and f("zorkelq zorkelw zorkela here") >= 0.7
+    assert f("put it into the trash can") < 0.7 and f(None) == f("") < 0.7
+    out = toxicity.score(docs(spark, rows + ODD), model).collect()
+    assert len(out) == len(rows) + len(ODD)
+    assert all(r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in out)
+    assert all(r.predicted == int(r.doc_id is not None and r.doc_id >= 1000) for r in out)
+    left = toxicity.drop_toxic(docs(spark, rows), model)
+    assert left.columns == docs(spark).columns and left.count() == 200
+    empty = toxicity.fit(nothing(spark), labels.where("false"))
+    assert toxicity.score(nothing(spark), empty).count() == 0 and empty.scorer()("idiot moron scum trash") >= 0.7
+
+
+def edit_distance(p, t):
+    last = [0] * (len(t) + 1)
+    for i, a in enumerate(p, 1):
+        now = [i]
+        for j, b in enumerate(t, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (a != b)))
+        last = now
+    return min(last)
+
+
+def test_decontamination_is_exact(spark):
+    import random
+
+    r = random.Random(4)
+    for _ in range(150):
+        items = [(j, "".join(r.choice("abcd ") for _ in range(r.randint(0, 70)))) for j in range(3)]
+        text = list(r.choice(items)[1])
+        for _ in range(r.randint(0, 8) if text else 0):
+            text[r.randrange(len(text))] = r.choice("abcd ")
+        text = "".join(r.choice("abcd ") for _ in range(30)) + "".join(text) + "".join(r.choice("abcd ") for _ in range(30))
+        p = decontaminate.plain
+        want = {j: edit_distance(p(x), p(text)) for j, x in items if p(x)}
+        got = {a: b for a, b, _ in decontaminate.matcher(items, 0.12)(text)}
+        assert got == {j: e for j, e in want.items() if e <= decontaminate.budget(len(p(dict(items)[j])), 0.12)}
+    items = spark.createDataFrame([(1, "The quick brown fox jumps over the lazy dog near the river"), (2, None), (3, ""), (1, "The quick brown fox jumps over the lazy dog near the river")], "item_id long, text string")
+    rows = [*ODD, (30, "xx the QUICK brown, fox jumps over the lazy dog near the river yy"), (31, "the quick brown fix jumps over the lzy dog near the rivers"), (32, "the quick brown fox jumps over")]
+    for chars in (10**6, 30):
+        got = decontaminate.leaks(docs(spark, rows), items, block_chars=chars).collect()
+        assert {(x.doc_id, x.item_id) for x in got} == {(30, 1), (31, 1)}
+        left = decontaminate.drop_leaks(docs(spark, rows), items, block_chars=chars)
+        assert sorted(repr(x.doc_id) for x in left.collect()) == sorted(repr(d) for d, _ in rows if d not in (30, 31))
+    assert decontaminate.leaks(docs(spark), items.where("false")).count() == 0
+
+
+def test_mixing_meets_its_targets(spark):
+    good = [(k, " ".join(f"word{(k * 31 + i) % 97}" for i in range(60))) for k in range(150)]
+    poor = [(500 + k, " ".join(f"SHOUT{(k * 31 + i) % 7}!!" for i in range(60))) for k in range(60)]
+    labels = spark.createDataFrame([(d, int(d < 500), 0) for d, _ in good + poor], "doc_id long, quality int, toxic int")
+    domains, targets = {"good": "quality = 1", "poor": "quality = 0"}, {"good": 0.9, "poor": 0.1}
+    all_docs = docs(spark, good + poor + ODD)
+    got = mixing.rates(all_docs, labels, targets, domains).collect()
+    total = sum(r.n_tokens for r in got)
+    assert len(got) == len(good + poor + ODD) and all(r.rate >= 0 for r in got)
+    assert sum(r.rate * r.n_tokens * r.p_good for r in got) / total == pytest.approx(0.9, abs=1e-5)
+    assert sum(r.rate * r.n_tokens * r.p_poor for r in got) / total == pytest.approx(0.1, abs=1e-5)
+    mixed = mixing.mix(all_docs, labels, targets, domains)
+    assert mixed.columns == all_docs.columns and 20 <= mixed.where("doc_id >= 500").count() < 60
+    assert mixing.rates(nothing(spark), labels).count() == 0 and mixing.rates(all_docs, labels.where("false")).count() == len(got)
+
+
+def test_html_main_text(spark):
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="site">Head</header>
+    <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy this now</div><!-- c --><article><header><h1>Title &amp; more</h1></header><p>First  line
+    of <b>text</b><br>goes on<p>Second &lt;b&gt; caf&eacute;.<aside>See also</aside><form><input>Sign up</form><ul><li>one<li>two</ul><p>1 < 2 &copy; x
+    </article><section id="comments"><p>Nice post!</p></section><footer>Foot</footer></body></html>"""
+    want = "Title & more\nFirst line of text goes on\nSecond <b> café.\none\ntwo\n1 < 2 © x"
+    assert html_text.main_text(page) == want
+    plain = page.replace("<article>", '<div class="box">').replace("</article>", "</div>")
+    assert html_text.main_text(plain) == want.replace("Title & more\n", "")
+    for cut in range(0, len(page), 7):
+        html_text.main_text(page[:cut])
+    pages = spark.createDataFrame([(1, "u", page), (2, None, None), (None, "v", ""), (1, "u", page)], "page_id long, url string, html string").withColumn("text", F.lit(1))
+    got = sorted(map(tuple, html_text.extract(pages).collect()), key=repr)
+    assert got == sorted([(1, "u", want, len(want)), (1, "u", want, len(want)), (2, None, "", 0), (None, "v", "", 0)], key=repr)
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
+def test_url_rules_and_propagation(spark):
+    link = '<a href="http://{}/x">x</a>'
+    rows = [
+        (1, "http://A.example.ORG/en/1?q", link.format("good.net")), (2, "https://example.org/es/2#t", ""), (3, "http://x.org/p", link.format("good.net")),
+        (4, "http://bad.com/de/1", ""), (5, "http://spam.net/", link.format("bad.com")), (6, "http://good.net/a", None), (7, None, None), (8, "no scheme", ""),
+        (9, "http://shop.com/fr/1", ""), (10, "http://shop.com/xx", ""), (None, "http://x.org", ""), (3, "http://x.org/p", link.format("good.net")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("score", F.lit(1))
+    got = {r.page_id: r for r in url_graph.judge(pages).collect()}
+    assert {k: (r.rule, r.verdict) for k, r in got.items()} == {
+        1: ("example.org/en/1", "block"), 2: ("example.org/es/", "block"), 3: ("org/", "allow"), 4: ("com/de/", "block"), 5: (None, "block"), 6: (None, "allow"),
+        7: (None, "allow"), 8: (None, "allow"), 9: ("com/fr/", "allow"), 10: (None, "allow"), None: (None, "allow"),
+    }
+    assert (got[1].host, got[1].path, got[None].path, got[7].host) == ("a.example.org", "/en/1", "", "")
+    assert url_graph.judge(pages).count() == len(rows) and url_graph.judge(pages.where("false")).count() == 0
+
+
+def test_page_rank_by_brute_force(spark):
+    edges = [("a", "b", 0.5), ("a", "c", 0.5), ("b", "c", 1.0), ("c", "a", 1.0)]
+    got = dict(map(tuple, url_graph.propagate(spark.createDataFrame(edges, "src string, dst string, weight double"), spark.createDataFrame([("a", 1.0), ("d", 1.0), ("b", 0.0)], "host string, seed double"), rounds=4).collect()))
+    now = {"a": 1.0, "d": 1.0}
+    for _ in range(4):
+        sent = {}
+        for s, d, w in edges:
+            if s in now:
+                sent[d] = sent.get(d, 0) + now[s] * w
+        now = {h: 0.15 * (h in "ad") + 0.85 * sent.get(h, 0) for h in {"a", "d"} | sent.keys()}
+    assert got == pytest.approx(now)
+
+
+def test_secrets(spark):
+    def part(o):
+        return base64.urlsafe_b64encode(json.dumps(o).encode()).rstrip(b"=").decode()
+
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
+    inner = b"\x02\x01\x00\x30\x05\x06\x03\x2b\x65\x70\x04\x22\x04\x20" + bytes(range(202, 234))
+    key = b"\x30" + bytes([len(inner)]) + inner
+    b64 = base64.b64encode(key).decode()
+    text = f"é PassWord = 'abc123' token: xy AKIA{'B' * 16} {'0a' * 12} {token} {b64} {key.hex().upper()} {'Q' * 60} passwordſ"
+    spans = secrets.joined(secrets.base_spans(text) + secrets.confirmed_spans(text))
+    assert [s.split(":")[0] for s in spans.split(",")] == ["assign", "access", "hex", "signed", "key", "key"]
+    a, b = map(int, spans.split(",")[0].split(":")[1:])
+    assert text[a:b] == "PassWord = 'abc123"
+    assert not secrets.confirmed_spans(b64[:-8]) and not secrets.der_key(key[:-1])
+    assert secrets.base_spans("api_key: token: abcdef") == [] and secrets.base_spans("tokenK = x") == []
+    rows = secrets.scan(docs(spark, ODD + [(9, text)])).collect()
+    assert len(rows) == len(ODD) + 1 and sum(r.n_key for r in rows) == 2 and sum(r.n_signed for r in rows) == 1
+    assert secrets.scan(nothing(spark)).count() == 0
+
+
+def test_png_round_trips_and_checksums(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 256, (23, 64), dtype=np.uint8)
+    for f in range(5):
+        assert (media.decode_png(media.encode_png(x.tobytes(), 64, f)) == x).all()
+    good = media.encode_png(x.tobytes())
+    for k in (3, 20, 50, len(good) - 3):
+        with pytest.raises(ValueError):
+            media.decode_png(good[:k] + bytes([good[k] ^ 1]) + good[k + 1 :])
+    with pytest.raises(ValueError):
+        media.decode_png(good[:-12])
+    rows = media.media_columns(docs(spark)).collect()
+    for r, (_, t) in zip(sorted(rows, key=lambda r: repr(r.doc_id)), sorted(ODD, key=lambda r: repr(r[0])), strict=True):
+        raw = (t or "").encode()
+        assert r.n_bytes == len(raw) and media.decode_png(r.media).tobytes() == raw + bytes(r.payload_bytes - len(raw)) and r.payload_bytes % 64 == 0 < r.payload_bytes
+    assert media.media_columns(nothing(spark)).count() == 0
+
+
+def test_pseudonyms_keep_format_and_undo(spark):
+    text = "Mail bo.t42@mail8.example.com, 4041894974608795 or 4041-8949-7460-8795; call +1 (988) 555-2485 or 212-555-0199. IP 42.144.35.254, born 1999-02-28 or 28/02/1999, 123-45-6789."
+    clean = "Not: 4041894974608796, 1999-02-30, 300.1.1.1, 000-45-6789, v1.2.3.4.5, order 12345"
+    rows = [*ODD, (20, text), (21, text + " again"), (22, clean)]
+    got = pseudonyms.pseudonymise(docs(spark, rows))
+    by = {r.doc_id: r for r in got.collect()}
+    assert len(by) == len({d for d, _ in rows}) and by[1].text is None and by[2].text == "" and by[5].text == LONG
+    assert by[22].text == clean and by[22].n_found == 0
+    new = by[20].text
+    assert by[20].n_found == 9 and by[21].text == new + " again"
+    assert not [w for w in ("bo.t42@", "4041894974608795", "555-2485", "555-0199", "42.144.35.254", "1999-02-28", "28/02/1999", "123-45-6789") if w in new]
+    card = re.search(r"\d{16}", new)[0]
+    assert card[:6] == "404189" and sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(card))) % 10 == 0
+    assert re.sub(r"\D", "", re.search(r"\d{4}-\d{4}-\d{4}-\d{4}", new)[0]) == card
+    assert re.fullmatch(r"Mail \w\w\.\w\d\d@mail8\.example\.com, \d{16} or [\d-]{19}; call \+1 \(\d{3}\) \d{3}-\d{4} or [\d-]{12}\. IP [\d.]+, born [\d-]{10} or [\d/]{10}, \d{3}-\d\d-\d{4}\.", new)
+    back = pseudonyms.pseudonymise(got.select("doc_id", "text"), back=True)
+    assert {r.doc_id: r.text for r in back.collect()} == dict(rows)
+    assert pseudonyms.pseudonymise(nothing(spark)).count() == 0
+
+
+def test_feistel_is_a_permutation(spark):
+    for a, b in ((7, 11), (10, 100), (1, 5)):
+        v = spark.range(a * b).select(pseudonyms.feistel(F.col("id"), a, b, "t").alias("v"), "id").withColumn("back", pseudonyms.feistel(F.col("v"), a, b, "t", back=True)).collect()
+        assert sorted(r.v for r in v) == list(range(a * b)) and all(r.back == r.id for r in v)
