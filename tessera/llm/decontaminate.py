@@ -88,10 +88,13 @@ def matcher(items: list[tuple[int, str]], rate: float = RATE) -> Callable[[str |
     texts = list(known)
     errors = [budget(len(t), rate) for t in texts]
     grams = [{t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} for t in texts]
-    at: dict[str, list[tuple[int, int]]] = {}
+    at: dict[str, list[tuple[int, int, int, str, str]]] = {}
     for k, t in enumerate(texts):
-        for offset, p in pieces(t, errors[k]):
-            at.setdefault(p, []).append((k, offset))
+        cut = pieces(t, errors[k])
+        for i, (offset, p) in enumerate(cut):
+            j = i ^ 1
+            mate = cut[j][1] if j < len(cut) else ""
+            at.setdefault(p, []).append((k, offset, (j > i) - (j < i) if mate else 0, mate[: len(mate) // 2], mate[len(mate) // 2 :]))
     for p, places in at.items():
         auto.add_word(p, (len(p), places))
     if not at:
@@ -102,7 +105,16 @@ def matcher(items: list[tuple[int, str]], rate: float = RATE) -> Callable[[str |
         t = plain(text)
         starts: dict[int, set[int]] = {}
         for end, (n, places) in auto.iter(t):
-            for k, offset in places:
+            for k, offset, side, first, second in places:
+                if side > 0:  # the neighbour follows
+                    b = end + 1 + len(first)
+                    if not (t.startswith(first, end + 1) or t.startswith(second, b) or t.startswith(second, b - 1) or t.startswith(second, b + 1)):
+                        continue
+                elif side < 0:
+                    b = end + 1 - n - len(second)
+                    a = b - len(first)
+                    if not (b >= 0 and t.startswith(second, b) or a >= 0 and t.startswith(first, a) or a > 0 and t.startswith(first, a - 1) or a >= -1 and t.startswith(first, a + 1)):
+                        continue
                 starts.setdefault(k, set()).add(end + 1 - n - offset)
         out = []
         for k, found in starts.items():
