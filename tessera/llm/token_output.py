@@ -100,6 +100,17 @@ class EliasFano:
         return cls(n, k, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c])
 
 
+def kept_encoder(tokenizer_path: str, end_id: int) -> tuple[int, Callable[[list[str]], list[bytes]]]:
+    """``encoder``, made once per worker process: its later tasks start with what the earlier ones remember."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_kept_encoders", {})
+    key = (tokenizer_path, end_id)
+    if key not in kept:
+        kept[key] = encoder(tokenizer_path, end_id)
+    return kept[key]
+
+
 class Fallback:
     """Two dictionaries looked up in turn."""
 
@@ -188,7 +199,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        size, encode = encoder(tokenizer_path, end_id)
+        size, encode = kept_encoder(tokenizer_path, end_id)
         out, ends, ids, nulls, total = None, [], [], 0, 0
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
