@@ -175,7 +175,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains:
             texts, ids = b.column(names.index("text")).to_pylist(), b.column(names.index("doc_id")).to_pylist()
             take = []
             for k, (p, d, t) in enumerate(zip(f(texts)[1], ids, texts, strict=True)):
-                chance = zlib.crc32(f"mix:{d}:".encode() + (t or "")[:64].encode("utf-8", "surrogatepass")) / 2**32
+                chance = zlib.crc32((t or "").encode("utf-8", "surrogatepass"), zlib.crc32(f"mix:{d}:".encode())) / 2**32
                 take += [k] * math.floor(rate_of(p, steps) + chance)
             yield b.take(pa.array(take, pa.int64()))
 
