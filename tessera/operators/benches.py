@@ -67,14 +67,8 @@ def best_offset(a: DataFrame, b: DataFrame, reach: int = 10) -> DataFrame:
 
 
 def _frames(dets: DataFrame, by: list[str], schema: str, each) -> DataFrame:
-    """``each`` over a frame's detections in the order of det_no (a frame holds a bounded number of boxes)."""
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(each(pdf.sort_values("det_no", ignore_index=True)), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return dets.groupBy(*by).applyInPandas(run, schema)
+    """``each`` over the detections of a frame (or of what ``by`` says) in the order of det_no."""
+    return greedy.by_frames(dets, by, schema, lambda pdf: each(pdf.reset_index(drop=True)))
 
 
 def compared(dets: DataFrame, least: float = 0.4) -> DataFrame:
