@@ -298,3 +298,22 @@ def test_feistel_is_a_permutation(spark):
     for a, b in ((7, 11), (10, 100), (1, 5)):
         v = spark.range(a * b).select(pseudonyms.feistel(F.col("id"), a, b, "t").alias("v"), "id").withColumn("back", pseudonyms.feistel(F.col("v"), a, b, "t", back=True)).collect()
         assert sorted(r.v for r in v) == list(range(a * b)) and all(r.back == r.id for r in v)
+
+
+def test_near_copies_at_any_fingerprint_distance(spark):
+    rng = np.random.default_rng(5)
+    rows, line = [], " one line that many of the texts have in common with each other "
+    for k in range(30):
+        w = [f"v{x}" for x in rng.integers(0, 400, 60 + 10 * k)]
+        rows.append((100 * k, " ".join(w) + (line if k % 2 else "")))
+        for c in range(1, 5):  # each with more words replaced: around the threshold
+            v = list(w)
+            for at in rng.integers(0, len(w), max(1, c * len(w) // 130)):
+                v[at] = f"x{at}"
+            rows.append((100 * k + c, " ".join(v) + (line if k % 2 else "")))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any((simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > 8 for i, j in alike)
+    own = simhash.roots(len(rows), *np.array(alike).T)
+    for most in (4096, 8):
+        assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows), most=most).collect()) == [rows[i][0] for i in np.flatnonzero(own == np.arange(len(rows)))]
