@@ -274,14 +274,14 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHIN
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, words: int = COPY_WORDS, similar: float = COPY_SIMILAR, blocks: int = 6, most: int = 4096) -> DataFrame:
-    """The documents, one of each group: the smallest doc_id; of rows that share a doc_id, the one whose text hashes least.
+    """The documents, one of each group: the smallest doc_id; of its rows in the group, the one whose text hashes least.
 
-    A group is what pairs with a shingle Jaccard of ``similar`` or more join, checked on the texts.  At 0.8 two 64-bit
+    Rows that share a doc_id but no group are kept apart.  A group is what pairs with a shingle Jaccard of ``similar`` or more join, checked on the texts.  At 0.8 two 64-bit
     fingerprints differ in ten bits on average and in twenty at times, so the Gray index finds the close pairs first and
     ``shingle_join`` every other one.  Rows without a doc_id can't be named as anyone's copy and stay as they are.
     """
     groups = similar_groups(docs, words, similar, distance, blocks, most)
-    of = groups.where("doc_id is not null").groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    first = F.min_by(F.struct(*docs.columns), F.xxhash64(F.coalesce("text", F.lit(""))))
-    one = docs.join(of, "doc_id", "left_semi").groupBy("doc_id").agg(first.alias("r")).select("r.*")
+    least = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.struct(*docs.columns).alias("r"))
+    one = rows.join(least, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.first("r").alias("r")).select("r.*")
     return one.select(*docs.columns).union(docs.where("doc_id is null"))

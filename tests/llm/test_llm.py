@@ -317,3 +317,9 @@ def test_near_copies_at_any_fingerprint_distance(spark):
     own = simhash.roots(len(rows), *np.array(alike).T)
     for most in (4096, 8):
         assert sorted(r.doc_id for r in simhash.keep_one(docs(spark, rows), most=most).collect()) == [rows[i][0] for i in np.flatnonzero(own == np.arange(len(rows)))]
+
+
+def test_rows_that_share_a_doc_id_but_no_text(spark):
+    x, y, u, v = (" ".join(f"{c}{k}" for k in range(30)) for c in "xyuv")
+    rows = [(5, x), (2, x), (5, y), (7, u), (7, v), (7, v), (8, v)]
+    assert sorted((r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()) == [(2, x), (5, y), (7, u), (7, v)]
