@@ -47,6 +47,26 @@ def active_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join(f, spans(spark, sf_dir), ["media_id"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("media_id", "frame", "track_id", "span_no")
 
 
+EVERY = "(SELECT DISTINCT media_id, frame FROM k)"
+
+
+@query(f"WITH k AS ({KEYS}), s AS ({SPANS}), f AS {EVERY} SELECT f.media_id, f.frame, s.track_id, s.span_no FROM f JOIN s ON f.media_id = s.media_id AND f.frame BETWEEN s.start_frame AND s.end_frame")
+def active_tracks_every_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which tracks are on a frame, for every frame of the tables."""
+    f = keys(spark, sf_dir).select("media_id", "frame", F.col("frame").alias("frame2")).distinct()
+    return overlap_join(f, spans(spark, sf_dir), ["media_id"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("media_id", "frame", "track_id", "span_no")
+
+
+@query()
+def interpolated_boxes_every_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the active tracks on every frame of the tables, between their keyframes.  No SQL: DuckDB rounds ties of the seventh digit unlike Spark."""
+    k = keys(spark, sf_dir)
+    f = k.select("frame", F.col("frame").alias("frame2"), F.lit(0).alias("axis")).distinct()
+    s = spans(spark, sf_dir).select("track_id", "start_frame", "end_frame", F.lit(0).alias("axis"))
+    asked = overlap_join(f, s, ["axis"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("track_id", "frame").distinct()
+    return interpolate(asked, k, ["track_id"]).select("track_id", "frame", *[F.round(c, 6).alias(c) for c in "xywh"])
+
+
 @query(f"""WITH k AS ({KEYS}), s AS ({SPANS}), q AS (SELECT DISTINCT s.track_id, f.frame FROM s JOIN (SELECT DISTINCT frame FROM k WHERE frame % 25 = 0) f ON f.frame BETWEEN s.start_frame AND s.end_frame),
  b AS (SELECT q.track_id, q.frame, max(k.frame) FILTER (k.frame <= q.frame) AS f0, min(k.frame) FILTER (k.frame >= q.frame) AS f1 FROM q JOIN k ON k.track_id = q.track_id GROUP BY q.track_id, q.frame),
  m AS (SELECT b.track_id, b.frame, CASE WHEN f1 > f0 THEN (b.frame - f0) / (f1 - f0) ELSE 0.0::DOUBLE END AS t, p.x AS ax, p.y AS ay, p.w AS aw, p.h AS ah, n.x AS bx, n.y AS by_, n.w AS bw, n.h AS bh
