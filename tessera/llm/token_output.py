@@ -5,22 +5,24 @@ A shard file holds, in this order:
 * the ids of its documents, concatenated, as little-endian unsigned integers (2 bytes where the vocabulary allows, else 4);
 * an Elias-Fano sequence of the documents' end offsets inside the shard (in ids);
 * an Elias-Fano sequence of the doc_ids, less the smallest of them;
-* a footer of fixed size with the counts, section lengths and a CRC-32 of the two sequences.
+* a footer of fixed size with the counts, section lengths, a CRC-32 of the two sequences and one of the ids.
 
 Offsets inside a shard come from ``select`` on the unary high bits plus the packed low bits; the only 64-bit offset is
 one base per shard, kept in the manifest.  Documents are dealt by range of doc_id, so shard k precedes shard k + 1.
 
 Rows: a null text counts as empty (the end id alone); a null doc_id sorts first; repeated doc_ids stay, ordered by the
-hash of their text; an empty table gives no shard and no row.  Columns other than doc_id and text are ignored.
+hash of their text, and wholly equal rows may be dealt to different shards; an empty table gives no shard and no row.  The
+text of a special token becomes that token's id, as the library has it.  Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
+from collections import ChainMap
 from collections.abc import Callable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -32,6 +34,7 @@ FOOTER = "<8sIQQQqQQII"
 FOOTER_SIZE = struct.calcsize(FOOTER)
 MAGIC = b"TSSREF01"
 EVERY = 64
+BLOCK_DOCS = 4096
 
 
 class EliasFano:
@@ -53,40 +56,28 @@ class EliasFano:
         ones = (v >> np.uint64(k)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(ones[-1]) + 1, dtype=np.uint8)
         bits[ones] = 1
-        return cls(n, k, low, np.packbits(bits, bitorder="little").tobytes(), ones[::EVERY].astype("<u4").tobytes())
+        return cls(n, k, low, np.packbits(bits, bitorder="little").tobytes(), ones[::EVERY].astype("<u8").tobytes())
 
     def select(self, i: int) -> int:
-        """The i-th value, by the nearest sampled one-bit and a scan of at most EVERY one-bits."""
+        """The i-th value."""
         if not 0 <= i < self.n:
             raise IndexError(i)
-        at = int(np.frombuffer(self.samples, "<u4", 1, 4 * (i // EVERY))[0])
-        left = i % EVERY
-        byte = at >> 3
-        seen = self.high[byte] >> (at & 7)
-        base = at
-        while left >= seen.bit_count():
-            left -= seen.bit_count()
-            byte += 1
-            base, seen = byte << 3, self.high[byte]
-        for _ in range(left):
-            seen &= seen - 1
-        pos = base + (seen & -seen).bit_length() - 1
-        low = 0
-        if self.low_bits:
-            a = i * self.low_bits
-            b = a + self.low_bits
-            word = int.from_bytes(self.low[a >> 3 : (b + 7) >> 3], "little")
-            low = (word >> (a & 7)) & ((1 << self.low_bits) - 1)
-        return ((pos - i) << self.low_bits) | low
-
-    def decode(self) -> np.ndarray:
-        """All values at once, as int64."""
-        if not self.n:
+        return int(self.select_range(i, i + 1)[0])
+
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """The values a .. b - 1 as int64: only the bits between the sampled one-bits around them are looked at."""
+        if a >= b:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        out = (ones - np.arange(self.n)).astype(np.int64) << self.low_bits
+        first, last = a // EVERY, -(-b // EVERY)
+        at = np.frombuffer(self.samples, "<u8")
+        begin, end = int(at[first]) >> 3, (int(at[last]) >> 3) + 1 if last < len(at) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8, end - begin, begin), bitorder="little")) + (begin << 3)
+        ones = ones[np.searchsorted(ones, int(at[first])) :][a - first * EVERY : b - first * EVERY]
+        out = (ones - np.arange(a, b)).astype(np.int64) << self.low_bits
         if self.low_bits:
-            bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
+            begin, end = a * self.low_bits, b * self.low_bits
+            bits = np.unpackbits(np.frombuffer(self.low, np.uint8, (end + 7 >> 3) - (begin >> 3), begin >> 3), bitorder="little")
+            bits = bits[begin & 7 :][: end - begin].reshape(b - a, self.low_bits)
             out |= bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return out
 
@@ -100,43 +91,55 @@ class EliasFano:
         return cls(n, k, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c])
 
 
-class Fallback:
-    """Two dictionaries looked up in turn."""
-
-    def __init__(self, first: dict, then: dict):
-        self.first, self.then = first, then
-
-    def __getitem__(self, key):
-        return self.first[key] if key in self.first else self.then[key]
-
-
-MEMO_ENTRIES = 500_000  # per Python worker; later chunks are encoded without being remembered
+MEMO_BYTES = 64 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
+MEMO_CHUNK = 64  # characters of the longest chunk that is kept
+_kept: dict[tuple[str, int], tuple[int, Callable[[list[str]], list[bytes]]]] = {}
 
 
 def encoder(tokenizer_path: str, end_id: int) -> tuple[int, Callable[[list[str]], list[bytes]]]:
-    """(bytes per id, texts -> packed ids with the end id), by the tokenizers library.
+    """(bytes per id, texts -> packed ids with the end id), by the tokenizers library; a worker makes it once.
 
     Byte-level BPE splits a text before every single blank that stands between two visible characters, so the chunks
-    between such blanks are encoded once and remembered; texts with any other run of blanks are encoded whole.  Unknown
-    chunks go to the library in one string; a chunk's ids begin where a token begins with a blank.
+    between such blanks are encoded once and remembered.  Texts with any other run of blanks, or with the text of a special
+    token, are encoded whole, and so is every text where the tokenizer is of another kind.  Unknown chunks of a batch go to
+    the library in strings of a thousand; a chunk's ids begin where a token begins with a blank.
     """
+    if (tokenizer_path, end_id) not in _kept:
+        _kept[tokenizer_path, end_id] = _encoder(tokenizer_path, end_id)
+    return _kept[tokenizer_path, end_id]
+
+
+def _encoder(tokenizer_path: str, end_id: int) -> tuple[int, Callable[[list[str]], list[bytes]]]:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tok = Tokenizer.from_file(tokenizer_path)
-    tok.encode_special_tokens = True
     size = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     kind = f"<u{size}"
     end = np.array([end_id], kind).tobytes()
-    runs = re.compile(r"\s |[ ]\s|^ | $")
+    cut = tok.pre_tokenizer
+    by_chunks = tok.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
     opens = np.zeros(tok.get_vocab_size(), bool)
     opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
     memo: dict[str, bytes] = {}
-
-    def pack(text: str) -> bytes:
-        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind).tobytes()
+    heads: dict[str, bytes] = {}  # chunks that a text begins with
+    used = 0
+
+    def whole(texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def remember(known: dict[str, bytes], got: dict[str, bytes]) -> dict[str, bytes]:
+        """``known`` with ``got``: in place while there is room, else in a copy that lives for this batch only."""
+        nonlocal used
+        if used > MEMO_BYTES:
+            return ChainMap(got, known)
+        small = {c: v for c, v in got.items() if len(c) <= MEMO_CHUNK}
+        known.update(small)
+        used += 190 * len(small) + sum(map(len, small)) + sum(map(len, small.values()))
+        return known if len(small) == len(got) else ChainMap(got, known)
 
     def learn(chunks: list[str]) -> dict[str, bytes]:
         got: dict[str, bytes] = {}
@@ -149,16 +152,31 @@ def encoder(tokenizer_path: str, end_id: int) -> tuple[int, Callable[[list[str]]
         return got
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [None if not t or runs.search(t) else t.split(" ") for t in texts]
-        new = {c for x in split if x for c in x[1:]} - memo.keys()
-        ids = memo
-        if new:
-            got = learn(list(new))
-            if len(memo) < MEMO_ENTRIES:
-                memo.update(got)
-            else:
-                ids = Fallback(memo, got)
-        return [end if not t else pack(t) + end if x is None else pack(x[0]) + b"".join(map(ids.__getitem__, x[1:])) + end for t, x in zip(texts, split, strict=True)]
+        split: list[list[str] | None] = []
+        new: set[str] = set()
+        first: set[str] = set()
+        odd: list[str] = []
+        for t in texts:
+            x = t.split(" ") if by_chunks and t and not any(s in t for s in special) else None
+            if x is not None:
+                miss = list(filterfalse(memo.__contains__, x[1:]))
+                head = x[0]
+                if head not in heads:
+                    miss.append(head)
+                if all(c == c.strip() and c for c in miss):  # known chunks have neither blanks around them nor no character
+                    if head not in heads:
+                        first.add(miss.pop())
+                    new.update(miss)
+                else:
+                    x = None
+            split.append(x)
+            if x is None and t:
+                odd.append(t)
+        ids = remember(memo, learn(list(new))) if new else memo
+        tops = remember(heads, dict(zip(first, whole(list(first)), strict=True))) if first else heads
+        others = iter(whole(odd))
+        get = ids.__getitem__
+        return [end if not t else next(others) + end if x is None else b"".join([tops[x[0]], *map(get, x[1:]), end]) for t, x in zip(texts, split, strict=True)]
 
     return size, encode
 
@@ -177,8 +195,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     """
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "tie")
+        .withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})  # repeated rows are told apart by their place
+        .repartitionByRange("doc_id", "tie", "place")
         .sortWithinPartitions("doc_id", "tie", "text")
         .select("doc_id", "text")
     )
@@ -189,10 +207,10 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         shard = TaskContext.get().partitionId()
         size, encode = encoder(tokenizer_path, end_id)
-        out, ends, ids, nulls, total = None, [], [], 0, 0
+        out, ends, ids, nulls, total, crc = None, [], [], 0, 0, 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a in range(0, batch.num_rows, 64):
+                part = batch.slice(a, 64)
                 if out is None:
                     path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
                     store, inside = filesystem(path)
@@ -206,12 +224,14 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                         nulls += 1
                     else:
                         ids.append(d)
-                out.write(b"".join(packed))
+                data = b"".join(packed)
+                crc = zlib.crc32(data, crc)
+                out.write(data)
         if out is None:
             return
         least = min(ids, default=0)
         one, two = EliasFano.build(ends).to_bytes(), EliasFano.build(np.array(ids, np.int64) - least).to_bytes()
-        out.write(one + two + struct.pack(FOOTER, MAGIC, size, len(ends), total, nulls, least, len(one), len(two), zlib.crc32(one + two), 0))
+        out.write(one + two + struct.pack(FOOTER, MAGIC, size, len(ends), total, nulls, least, len(one), len(two), zlib.crc32(one + two), crc))
         out.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(ends)], "n_ids": [total]})
 
@@ -227,7 +247,7 @@ class Shard:
         store, inside = filesystem(path)
         self.file = store.open_input_file(inside)
         end = self.file.size()
-        magic, self.size, self.n_docs, self.n_ids, self.nulls, self.least, a, b, crc, _ = struct.unpack(FOOTER, self.file.read_at(FOOTER_SIZE, end - FOOTER_SIZE))
+        magic, self.size, self.n_docs, self.n_ids, self.nulls, self.least, a, b, crc, self.crc = struct.unpack(FOOTER, self.file.read_at(FOOTER_SIZE, end - FOOTER_SIZE))
         data = self.file.read_at(a + b, self.n_ids * self.size)
         if magic != MAGIC or zlib.crc32(data) != crc:
             raise ValueError(f"{path} is damaged")
@@ -252,16 +272,25 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 s = Shard(path)
-                ends = s.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                ids = [None] * s.nulls + (s.ids.decode() + s.least).tolist()
-                a = 0
-                while a < s.n_docs:  # as many documents as make about 4 million ids
-                    b = max(a + 1, int(np.searchsorted(ends, starts[a] + (4 << 20), side="right")))
-                    wide, off = s.tokens(int(starts[a]), int(ends[b - 1])).astype("<u4"), int(starts[a])
-                    crc = [zlib.crc32(wide[x - off : y - off]) for x, y in zip(starts[a:b].tolist(), ends[a:b].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), pa.array(starts[a:b] + base), pa.array(ends[a:b] - starts[a:b]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-                    a = b
+                crc, start = 0, 0
+                for a in range(0, s.n_docs, BLOCK_DOCS):
+                    b = min(a + BLOCK_DOCS, s.n_docs)
+                    ends = s.ends.select_range(a, b)
+                    starts = np.concatenate([[start], ends[:-1]]).astype(np.int64)
+                    lead = min(max(s.nulls - a, 0), b - a)
+                    ids = [None] * lead + (s.ids.select_range(a + lead - s.nulls, b - s.nulls) + s.least).tolist()
+                    k = 0
+                    while k < b - a:  # as many documents as make about 4 million ids
+                        m = max(k + 1, int(np.searchsorted(ends, starts[k] + (4 << 20), side="right")))
+                        raw, off = s.tokens(int(starts[k]), int(ends[m - 1])), int(starts[k])
+                        crc = zlib.crc32(raw, crc)
+                        wide = raw.astype("<u4")
+                        each = [zlib.crc32(wide[x - off : y - off]) for x, y in zip(starts[k:m].tolist(), ends[k:m].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[k:m], pa.int64()), pa.array(starts[k:m] + base), pa.array(ends[k:m] - starts[k:m]), pa.array(each, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                        k = m
+                    start = int(ends[-1])
+                if crc != s.crc:
+                    raise ValueError(f"the ids of {path} are damaged")
 
     n = max(1, manifest.count())
     return manifest.select("path", "base").repartition(n).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
