@@ -20,9 +20,8 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from collections import ChainMap
-from collections.abc import Callable, Iterator
-from itertools import filterfalse
+from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -91,94 +90,104 @@ class EliasFano:
         return cls(n, k, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c])
 
 
-MEMO_BYTES = 64 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
+MEMO_BYTES = 24 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
 MEMO_CHUNK = 64  # characters of the longest chunk that is kept
-_kept: dict[tuple[str, int], tuple[int, Callable[[list[str]], list[bytes]]]] = {}
+BATCH_BYTES = 6 << 20  # of text that is encoded at a time, one document at least
+_kept: dict[tuple[str, int], "Encoder"] = {}
 
 
-def encoder(tokenizer_path: str, end_id: int) -> tuple[int, Callable[[list[str]], list[bytes]]]:
-    """(bytes per id, texts -> packed ids with the end id), by the tokenizers library; a worker makes it once.
-
-    Byte-level BPE splits a text before every single blank that stands between two visible characters, so the chunks
-    between such blanks are encoded once and remembered.  Texts with any other run of blanks, or with the text of a special
-    token, are encoded whole, and so is every text where the tokenizer is of another kind.  Unknown chunks of a batch go to
-    the library in strings of a thousand; a chunk's ids begin where a token begins with a blank.
-    """
+def encoder(tokenizer_path: str, end_id: int) -> "Encoder":
+    """The worker's encoder, made once."""
     if (tokenizer_path, end_id) not in _kept:
-        _kept[tokenizer_path, end_id] = _encoder(tokenizer_path, end_id)
+        _kept[tokenizer_path, end_id] = Encoder(tokenizer_path, end_id)
     return _kept[tokenizer_path, end_id]
 
 
-def _encoder(tokenizer_path: str, end_id: int) -> tuple[int, Callable[[list[str]], list[bytes]]]:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer, pre_tokenizers
-
-    tok = Tokenizer.from_file(tokenizer_path)
-    size = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-    kind = f"<u{size}"
-    end = np.array([end_id], kind).tobytes()
-    cut = tok.pre_tokenizer
-    by_chunks = tok.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
-    special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
-    opens = np.zeros(tok.get_vocab_size(), bool)
-    opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
-    memo: dict[str, bytes] = {}
-    heads: dict[str, bytes] = {}  # chunks that a text begins with
-    used = 0
-
-    def whole(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def remember(known: dict[str, bytes], got: dict[str, bytes]) -> dict[str, bytes]:
-        """``known`` with ``got``: in place while there is room, else in a copy that lives for this batch only."""
-        nonlocal used
-        if used > MEMO_BYTES:
-            return ChainMap(got, known)
-        small = {c: v for c, v in got.items() if len(c) <= MEMO_CHUNK}
-        known.update(small)
-        used += 190 * len(small) + sum(map(len, small)) + sum(map(len, small.values()))
-        return known if len(small) == len(got) else ChainMap(got, known)
-
-    def learn(chunks: list[str]) -> dict[str, bytes]:
-        got: dict[str, bytes] = {}
+class Encoder:
+    """Texts -> ids with the end id, by the tokenizers library.
+
+    Byte-level BPE splits a text before every single blank that stands between two visible characters.  So a batch's chunks
+    between such blanks are cut and made distinct by Arrow, only what is new goes to the library, in strings of a thousand,
+    and short chunks are remembered.  Texts with any other run of blanks, or with the text of a special token, are encoded
+    whole, and so is every text where the tokenizer is of another kind.
+    """
+
+    def __init__(self, tokenizer_path: str, end_id: int, memo_bytes: int = MEMO_BYTES):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok = tok = Tokenizer.from_file(tokenizer_path)
+        self.size = 2 if max(tok.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        self.kind = f"<u{self.size}"
+        self.end = np.array([end_id], self.kind).tobytes()
+        cut = tok.pre_tokenizer
+        self.by_chunks = tok.normalizer is None and isinstance(cut, pre_tokenizers.ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        self.special = tuple(t.content for t in tok.get_added_tokens_decoder().values())
+        self.opens = np.zeros(tok.get_vocab_size(), bool)
+        self.opens[[i for t, i in tok.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.memo: dict[str, bytes] = {}
+        self.room = memo_bytes
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks, each as it stands after a blank; a chunk's ids begin where a token begins with a blank."""
+        got: list[bytes] = []
         for a in range(0, len(chunks), 1000):
             some = chunks[a : a + 1000]
-            ids = np.array(tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, kind)
-            at = (np.flatnonzero(opens[ids]) * size).tolist()
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            at = (np.flatnonzero(self.opens[ids]) * self.size).tolist()
+            if len(at) != len(some):
+                raise RuntimeError("the tokenizer does not open each chunk with a token of its own")
             raw = ids.tobytes()
-            got.update(zip(some, map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)])), strict=True))
+            got += map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)]))
         return got
 
-    def encode(texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        new: set[str] = set()
-        first: set[str] = set()
-        odd: list[str] = []
-        for t in texts:
-            x = t.split(" ") if by_chunks and t and not any(s in t for s in special) else None
-            if x is not None:
-                miss = list(filterfalse(memo.__contains__, x[1:]))
-                head = x[0]
-                if head not in heads:
-                    miss.append(head)
-                if all(c == c.strip() and c for c in miss):  # known chunks have neither blanks around them nor no character
-                    if head not in heads:
-                        first.add(miss.pop())
-                    new.update(miss)
-                else:
-                    x = None
-            split.append(x)
-            if x is None and t:
-                odd.append(t)
-        ids = remember(memo, learn(list(new))) if new else memo
-        tops = remember(heads, dict(zip(first, whole(list(first)), strict=True))) if first else heads
-        others = iter(whole(odd))
-        get = ids.__getitem__
-        return [end if not t else next(others) + end if x is None else b"".join([tops[x[0]], *map(get, x[1:]), end]) for t, x in zip(texts, split, strict=True)]
-
-    return size, encode
+    def chunks(self, found: list[str], fit: list[bool]) -> list[bytes]:
+        """Ids of distinct chunks, those alone that are ``fit`` to be encoded by themselves."""
+        out = list(map(self.memo.get, found, repeat(b"")))
+        new = [i for i, v in enumerate(out) if not v and fit[i]]
+        chunks = [found[i] for i in new]
+        got = self.learn(chunks)
+        for i, v in zip(new, got, strict=True):
+            out[i] = v
+        if self.room > 0:
+            small = {c: v for c, v in zip(chunks, got, strict=True) if len(c) <= MEMO_CHUNK}
+            self.memo.update(small)
+            self.room -= 190 * len(small) + sum(map(len, small)) + sum(map(len, small.values()))
+        return out
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts in a row, end offset of each)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        odd = [not self.by_chunks or not t or any(s in t for s in self.special) for t in texts]
+        split = pc.split_pattern(pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()), " ")
+        at = split.offsets.to_numpy()
+        distinct = split.values.dictionary_encode()
+        codes, found = distinct.indices.to_numpy(), distinct.dictionary.to_pylist()
+        bare = pc.and_(pc.equal(pc.utf8_trim_whitespace(distinct.dictionary), distinct.dictionary), pc.not_equal(distinct.dictionary, ""))
+        ids = self.chunks(found, bare.to_pylist())
+        unfit = ~bare.to_numpy(zero_copy_only=False)[codes]
+        for k in np.unique(np.searchsorted(at, np.flatnonzero(unfit), side="right") - 1).tolist():
+            odd[k] = True
+        n = len(ids)
+        tops = self.whole([t if o else found[codes[a]] for t, o, a in zip(texts, odd, at[:-1].tolist(), strict=True)])
+        rows = []
+        for k, o in enumerate(odd):  # a text's head or whole, its chunks, the end id
+            rows += [[n + k], codes[0 if o else at[k] + 1 : 0 if o else at[k + 1]], [n + len(texts)]]
+        row = np.concatenate(rows).astype(np.int64)
+        values = [*ids, *tops, self.end]
+        lens = np.fromiter(map(len, values), np.int64, len(values)) // self.size
+        begin = np.cumsum(lens) - lens
+        each = lens[row]
+        until = np.cumsum(each)
+        out = np.frombuffer(b"".join(values), self.kind)[np.repeat(begin[row] - until + each, each) + np.arange(until[-1])]
+        return out, until[np.cumsum([len(r) for r in rows])[2::3] - 1]
 
 
 def filesystem(path: str):
@@ -187,6 +196,12 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def slices(batch, most_bytes: int) -> Iterator:
+    """The batch in slices of about ``most_bytes``, a row at least."""
+    step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
+    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Encode ``docs`` into shard files under ``folder``; returns the manifest (shard, path, n_docs, n_ids, base).
 
@@ -206,34 +221,31 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        size, encode = encoder(tokenizer_path, end_id)
+        coder = encoder(tokenizer_path, end_id)
         out, ends, ids, nulls, total, crc = None, [], [], 0, 0, 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 64):
-                part = batch.slice(a, 64)
+            for part in slices(batch, BATCH_BYTES):
                 if out is None:
                     path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
                     store, inside = filesystem(path)
                     store.create_dir(inside.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(inside)
-                packed = encode(part.column(1).to_pylist())
-                for d, p in zip(part.column(0).to_pylist(), packed, strict=True):
-                    total += len(p) // size
-                    ends.append(total)
-                    if d is None:
-                        nulls += 1
-                    else:
-                        ids.append(d)
-                data = b"".join(packed)
+                packed, until = coder.encode(part.column(1).to_pylist())
+                ends.append(until + total)
+                total += len(packed)
+                nulls += part.column(0).null_count
+                ids.append(part.column(0).drop_null().to_numpy())
+                data = packed.tobytes()
                 crc = zlib.crc32(data, crc)
                 out.write(data)
         if out is None:
             return
-        least = min(ids, default=0)
-        one, two = EliasFano.build(ends).to_bytes(), EliasFano.build(np.array(ids, np.int64) - least).to_bytes()
-        out.write(one + two + struct.pack(FOOTER, MAGIC, size, len(ends), total, nulls, least, len(one), len(two), zlib.crc32(one + two), crc))
+        known, until = np.concatenate(ids), np.concatenate(ends)
+        least = int(known[0]) if len(known) else 0
+        one, two = EliasFano.build(until).to_bytes(), EliasFano.build(known - least).to_bytes()
+        out.write(one + two + struct.pack(FOOTER, MAGIC, coder.size, len(until), total, nulls, least, len(one), len(two), zlib.crc32(one + two), crc))
         out.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(ends)], "n_ids": [total]})
+        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(until)], "n_ids": [total]})
 
     found = materialize(rows.mapInArrow(shards, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard, not per document
