@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_written: dict[int, str] = {}
+HOT_SHARE = 1000  # a key is hot if it holds more than one in so many rows, so there are fewer hot keys than that
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own on a local master (tests)."""
     sc = spark.sparkContext
     set_by_cluster = sc.getConf().get("spark.checkpoint.dir")
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if sc.applicationId not in _own:
         _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
     return _own[sc.applicationId]
@@ -31,7 +37,33 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = path
+    weakref.finalize(out, _written.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing reads any more."""
+    for t in tables:
+        path = _written.pop(id(t), None)
+        if path:
+            jvm = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jvm.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(jvm, True)
+
+
+def join_skewed(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has a row per key at most; keys that hold many rows of ``big`` are not shuffled.
+
+    Their rows of ``small``, fewer than ``HOT_SHARE``, are broadcast; the rest is joined by key.  ``how``: inner or left.
+    """
+    n = big.count()
+    hot = [r[0] for r in big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n ")).where(F.col("n ") > max(10_000, n // HOT_SHARE)).select(key).collect()]
+    if not hot:
+        return big.join(small, key, how)
+    is_hot = F.col(key).isin(hot)
+    rest = F.coalesce(~is_hot, F.lit(True))
+    return big.where(is_hot).join(F.broadcast(small.where(is_hot)), key, how).unionByName(big.where(rest).join(small.where(rest), key, how))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

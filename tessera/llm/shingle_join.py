@@ -1,61 +1,56 @@
-"""Pairs of documents by the Jaccard similarity of their word shingles, exactly: no pair at the threshold is missed.
-
-A shingle is an XXH64 of ``words`` words, as in the fingerprints; equal sets are one node.  Two sets at similarity s share at
-least s x the larger size, so under any order of the shingles their first n - ceil(s n) + 1 have one in common (prefix
-filter).  The order is by hash, with shingles that a sample finds in many texts last; the sample decides how large the
-buckets become, never the result.  A bucket of more than ``most`` sets is cut into chunks, each pair of chunks a task.
-
-Candidates come in two rounds, both checked on the texts once a bound lets them pass: counts of a set's hashes in ``BINS``
-bins bound what two sets share from above, so most chance meetings are dropped without their texts.  The first takes the links that the Gray index gives and
-neighbours in buckets, so that dense groups become one component with few checks; the second takes every pair of a bucket
-whose sets are not one component yet.
+"""Pairs of documents by the Jaccard similarity of their word shingles, every candidate checked on the shingles themselves.
+
+A shingle is an XXH64 of ``words`` words, as in the fingerprints; equal sets are one node.  Candidates come from the Gray
+index over the fingerprints and, as those differ too much at a similarity of 0.8, from ``BANDS`` bands of ``ROWS`` least
+hashes: a pair at similarity s has no band in common with probability (1 - s**ROWS) ** BANDS, 5e-7 at 0.8 and less above,
+whatever the size of the corpus.  A bucket of more than ``most`` sets is cut into chunks, each pair of chunks a task, so no
+bucket is capped.
+
+There are two rounds, and counts of a set's hashes in ``BINS`` bins, which bound what two sets share from above, drop most
+chance meetings before any shingle is moved.  The first takes the links that the Gray index gives and neighbours in buckets,
+so that dense groups become one component with few checks; the second takes every pair of a bucket whose sets are not one
+component yet.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import discard, join_skewed, map_rows, materialize
 from .components import connected_components
 
-SAMPLE, OFTEN, LISTED = 2000, 8, 50_000
+BANDS, ROWS = 48, 6
 SMALL, BINS, BITS = 64, 256, 1 << 23
 
 
-def prefix_length(n: int, similar: float) -> int:
-    return n - math.ceil(similar * n - 1e-9) + 1 if n else 0
-
+def hash_family(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and terms of ``BANDS * ROWS`` hashes of 32 bits: x -> a * x + b, modulo 2**32."""
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 1 << 32, (2, BANDS * ROWS), dtype=np.uint64).astype(np.uint32)
+    return a | np.uint32(1), b
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
-
-
-def often_met(texts: DataFrame, words: int) -> np.ndarray:
-    """Shingles of ``OFTEN`` of some ``SAMPLE`` texts at least, the most frequent ``LISTED`` of them, sorted."""
-    from .simhash import shingle_hashes
 
-    share = max(1, texts.count() // SAMPLE)
-    some = texts.where(F.pmod(F.col("th"), F.lit(share)) == 0).select("text")
-
-    def make():
-        def f(c):
-            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in c["text"]]
-            return {"h": np.concatenate(found)}
-
-        return f
+def bands_of(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> list[int]:
+    """A 64-bit name of each band's least hashes over a set of shingle hashes; none for an empty set."""
+    import xxhash
 
-    met = map_rows(some, make, "h long").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
-    return np.sort(np.array([r.h for r in met.orderBy(F.desc("c"), "h").limit(LISTED).collect()], np.int64).view(np.uint64))
+    if not len(s):
+        return []
+    a, b = family
+    x = (s ^ s >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(a), ~np.uint32(0))
+    for k in range(0, len(x), 1024):
+        least = np.minimum(least, (x[k : k + 1024, None] * a + b).min(axis=0))
+    raw = least.tobytes()
+    return [xxhash.xxh64_intdigest(raw[4 * ROWS * k : 4 * ROWS * (k + 1)], k) - (1 << 63) for k in range(BANDS)]
 
 
-def sketches(texts: DataFrame, words: int, similar: float, often: np.ndarray) -> DataFrame:
-    """(doc_id, th, fp, key, n, prefix, bins) of every row of ``texts`` (doc_id, text, th): ``key`` names the set, ``n`` is its size.
+def sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(doc_id, th, fp, key, n, bands, bins) of every row of ``texts`` (doc_id, text, th): ``key`` names the set, ``n`` is its size.
 
     ``bins`` is empty where a count passes a byte: such a set is never dropped by the bound.
     """
@@ -64,43 +59,41 @@ def sketches(texts: DataFrame, words: int, similar: float, often: np.ndarray) ->
     def make():
         import xxhash
 
+        family = hash_family()
+
         def f(c):
-            out = {"doc_id": c["doc_id"], "th": c["th"], "fp": [], "key": [], "n": [], "prefix": [], "bins": []}
+            out = {"doc_id": c["doc_id"], "th": c["th"], "fp": [], "key": [], "n": [], "bands": [], "bins": []}
             for t in c["text"]:
                 h = shingle_hashes(t, words)
                 s = np.unique(h)
                 out["fp"].append(signed(majority(h)))
                 out["key"].append(signed(xxhash.xxh64_intdigest(s.tobytes(), 42)))
                 out["n"].append(len(s))
+                out["bands"].append(bands_of(s, family))
                 counts = np.bincount((s & np.uint64(BINS - 1)).astype(int), minlength=BINS)
                 out["bins"].append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
-                late = np.isin(s, often)
-                out["prefix"].append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), similar)].view(np.int64).tolist())
             return out
 
         return f
 
-    return map_rows(texts, make, "doc_id long, th long, fp long, key long, n int, prefix array<long>, bins binary")
+    return map_rows(texts, make, "doc_id long, th long, fp long, key long, n int, bands array<long>, bins binary")
 
 
 def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, every: bool) -> DataFrame:
-    """(a, b) of ``met`` (k, key, n, pos, root): neighbours of a bucket by size, or ``every`` pair of unlike roots that can be similar."""
-    dealt = met.join(sizes, "k")
+    """(a, b) of ``met`` (k, key, n, root): neighbours of a bucket by size, or ``every`` pair of unlike roots that can be similar."""
+    dealt = join_skewed(met, sizes, "k")
     chunks = F.ceil(F.col("c") / most).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    tasks = dealt.select("k", "key", "n", "pos", "root", own.alias("own"), F.explode(pair).alias("p")).select("k", "p.i", "p.j", "n", "key", "pos", "root", "own")
+    tasks = dealt.select("k", "key", "n", "root", own.alias("own"), F.explode(pair).alias("p")).select("k", "p.i", "p.j", "n", "key", "root", "own")
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def fits(cols: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            _, i, j, n, key, pos, root, own = cols
+            _, i, j, n, key, root, own = cols
             ok = (root[a] != root[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
-            ok &= np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-6
-            # what the two can share: this shingle, what stands before it in one (in the other's prefix at most), what stands after
-            room = np.minimum(pos[a], pos[b]) + 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1
-            return ok & (room * (1 + similar) >= similar * (n[a].astype(float) + n[b]) - 1e-6)
+            return ok & (np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-6)
 
         def pairs(cols: list[np.ndarray]) -> pa.RecordBatch | None:
             k, i, j = cols[:3]
@@ -133,7 +126,7 @@ def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, ever
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(7)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -148,7 +141,7 @@ def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, ever
 
 
 def shared_only(dealt: DataFrame) -> DataFrame:
-    """The rows of ``dealt`` (k, key, n, pos) whose k occurs more than once, by one shuffle."""
+    """The rows of ``dealt`` (k, key, n) whose k occurs more than once, by one shuffle."""
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -167,7 +160,7 @@ def shared_only(dealt: DataFrame) -> DataFrame:
         if carried:
             yield rest
 
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(search, "k long, key long, n int, pos int")
+    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(search, "k long, key long, n int")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
@@ -205,27 +198,23 @@ def holding(texts: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:
-    """The pairs (a, b) of keys whose texts' shingles are similar."""
+    """The pairs (a, b) of keys whose shingle sets are similar; sets are made from the texts of those that are candidates."""
     from .simhash import shingle_hashes
 
     pairs = materialize(bounded(pairs, nodes, similar), "candidates")
     need = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "th"), "key"), "candidate-sets")
     one = holding(texts, need).groupBy("th").agg(F.first("text").alias("text"))
-    held = materialize(need.join(one, "th").select("key", "text"), "candidate-texts")
-    side = lambda x: held.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}"))
-
-    def make():
-        from functools import lru_cache
 
-        of = lru_cache(256)(lambda t: np.unique(shingle_hashes(t, words)))
+    def sets():
+        return lambda c: {"key": c["key"], "s": [np.unique(shingle_hashes(t, words)).view(np.int64).tolist() for t in c["text"]]}
 
-        def f(c):
-            ok = [similarity(of(s), of(t)) >= similar for s, t in zip(c["text_a"], c["text_b"], strict=True)]
-            return {x: [v for v, y in zip(c[x], ok, strict=True) if y] for x in ("a", "b")}
-
-        return f
-
-    return materialize(map_rows(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b"), make, "a long, b long"), "similar-pairs")
+    held = materialize(map_rows(need.join(one, "th").select("key", "text"), sets, "key long, s array<long>"), "candidate-shingles")
+    side = lambda x: held.select(F.col("key").alias(x), F.col("s").alias(f"s_{x}"))
+    both = F.size(F.array_intersect("s_a", "s_b"))  # row by row, so that long sets never meet in one batch
+    met = join_skewed(join_skewed(pairs, side("a"), "a"), side("b"), "b")
+    out = materialize(met.where(both >= similar * (F.size("s_a") + F.size("s_b") - both) - 1e-9).select("a", "b"), "similar-pairs")
+    discard(pairs, need, held)
+    return out
 
 
 def similar_groups(docs: DataFrame, words: int, similar: float, distance: int, blocks: int, most: int) -> DataFrame:
@@ -233,20 +222,24 @@ def similar_groups(docs: DataFrame, words: int, similar: float, distance: int, b
     from .simhash import link_distinct
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
-    rows = materialize(sketches(texts, words, similar, often_met(texts, words)), "sketches")
-    nodes = materialize(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.min("th").alias("th"), F.first("prefix").alias("prefix"), F.first("bins").alias("bins")), "sets")
-    dealt = nodes.select("key", "n", F.posexplode("prefix").alias("pos", "k")).select("k", "key", "n", "pos")
-    met = materialize(shared_only(dealt).withColumn("root", F.col("key")), "shared-shingles")
-    sizes = met.groupBy("k").agg(F.count("*").alias("c"))
+    rows = materialize(sketches(texts, words), "sketches")
+    firsts = [F.first(x).alias(x) for x in ("fp", "n", "bands", "bins")]
+    nodes = materialize(rows.groupBy("key").agg(F.min("th").alias("th"), *firsts), "sets")
+    dealt = nodes.select("key", "n", F.explode("bands").alias("k")).select("k", "key", "n")
+    met = materialize(shared_only(dealt).withColumn("root", F.col("key")), "shared-bands")
     first = nodes.groupBy("fp").agg(F.min("key").alias("least"))
     stars = link_distinct(first.select("fp"), distance, blocks, most)
     gray = stars.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
     same = nodes.join(first, "fp").select(F.col("key").alias("x"), F.col("least").alias("y"))
     linked = gray.select("x", "y").union(same).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    sizes = met.groupBy("k").agg(F.count("*").alias("c"))
     edges = verified(linked.union(candidates(met, sizes, similar, most, False)).distinct(), nodes, texts, words, similar)
     homes = connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("home"))
-    met = materialize(met.join(homes, "key", "left").withColumn("root", F.coalesce("home", "key")).drop("home"), "open-shingles")
-    sizes = met.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "c")
-    edges = edges.union(verified(candidates(met, sizes, similar, most, True), nodes, texts, words, similar))
-    homes = connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("home"))
-    return materialize(rows.select("doc_id", "th", "key").join(homes, "key", "left").select("doc_id", "th", F.coalesce("home", "key").alias("root")), "similar-groups")
+    left = materialize(met.join(homes, "key", "left").withColumn("root", F.coalesce("home", "key")).drop("home"), "open-bands")
+    discard(met)
+    sizes = left.groupBy("k").agg(F.count("*").alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("k", "c")
+    more = verified(candidates(left, sizes, similar, most, True), nodes, texts, words, similar)
+    homes = connected_components(edges.union(more)).select(F.col("node").alias("key"), F.col("root").alias("home"))
+    out = materialize(rows.select("doc_id", "th", "key").join(homes, "key", "left").select("doc_id", "th", F.coalesce("home", "key").alias("root")), "similar-groups")
+    discard(left, rows, nodes, edges, more)
+    return out

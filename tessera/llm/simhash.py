@@ -4,8 +4,8 @@ Fingerprints (distinct ones only) are dealt by every choice of ``agree`` of ``bl
 differ in at most ``blocks - agree`` bits have ``agree`` blocks in common, so each pair meets in some bucket.  Inside a
 bucket the fingerprints are sorted by Gray rank and cut into groups, groups into larger groups; each node keeps the bits
 all its members share.  Two nodes descend together, adding the differing shared bits that are new at each level, and are
-dropped with all members once the sum passes the distance; so are nodes that are one component already.  A bucket gives a
-star per component, never all pairs.  A bucket of more than ``most`` fingerprints is cut into chunks, and each pair of
+dropped with all members once the sum passes the distance; so are nodes that are one component already.  All buckets of a
+batch, small or large, are segments of one such index.  A bucket gives a star per component, never all pairs.  A bucket of more than ``most`` fingerprints is cut into chunks, and each pair of
 chunks is a task of its own, so no bucket is capped and none lands in one task.
 
 Rows: a null or blank text has fingerprint zero and is linked like any other; repeated rows share a fingerprint; a null
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import join_skewed, map_rows, materialize
 from .components import connected_components
 from .shingle_join import similar_groups
 
@@ -103,101 +103,103 @@ def roots(n: int, i: np.ndarray, j: np.ndarray, label: np.ndarray | None = None)
 
 
 class GrayIndex:
-    """Levels of groups over fingerprints in Gray order: masks of the bits that all members share, and those bits."""
-
-    def __init__(self, v: np.ndarray, fan: int = FAN):
-        self.v, self.fan = v, fan
-        mask, bits = np.full(len(v), ~np.uint64(0)), v
-        self.levels = []
-        while len(mask) > 1:
-            at = np.arange(0, len(mask), fan)
-            both = np.bitwise_and.reduceat(mask & bits, at)
-            none = np.bitwise_and.reduceat(mask & ~bits, at)
-            mask, bits = both | none, both
-            self.levels.append((mask, bits))
-        if not self.levels:
-            self.levels.append((mask, bits))
-
-    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First child and number of children of each node; at level 0 the children are fingerprints."""
-        n = len(self.v) if level == 0 else len(self.levels[level - 1][0])
-        first = nodes * self.fan
-        return first, np.minimum(self.fan, n - first)
-
-
-def link(v: np.ndarray, distance: int = DISTANCE, other: np.ndarray | None = None, step: int = 2048) -> list[tuple[int, int]]:
-    """Stars that join what is linked among ``v`` (with ``other``: between the two, and nothing else is lost or added).
-
-    Returned pairs are (fingerprint, smallest-indexed fingerprint of its component); every pair of ``v`` (or of ``v`` and
-    ``other``) at the distance is in one component, and each component holds only pairs at the distance.
+    """Levels of groups over fingerprints in Gray order, segment by segment: what all members of a group share.
+
+    ``v`` is sorted by segment, then by Gray rank; ``begin`` holds where each segment starts.  A level has the first child
+    and the number of children of each of its nodes, the mask of the bits that all fingerprints below share, and those
+    bits; at level 0 the children are fingerprints.  No node crosses a segment, and the last level has a node per segment.
     """
-    v = v[np.argsort(gray_rank(v), kind="stable")]
-    split = len(v)
-    if other is not None:
-        other = other[np.argsort(gray_rank(other), kind="stable")]
-    whole = v if other is None else np.concatenate([v, other])
-    label = np.arange(len(whole))
-    left, right = GrayIndex(v), GrayIndex(v if other is None else other)
-    off = 0 if other is None else split
-    near = lambda a, b: np.bitwise_count(whole[a] ^ whole[b]) <= distance
-    if other is None:
-        for lag in (1, 2, 3, 4):  # neighbours in Gray order first: most of a dense group becomes one component at once
-            a = np.arange(len(v) - lag)
-            hit = near(a, a + lag)
-            label = roots(len(whole), a[hit], a[hit] + lag, label)
-    top_l, top_r = len(left.levels) - 1, len(right.levels) - 1
-
-    def one_component(level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Node pairs all of whose members are one component already."""
-        size_l, size_r = left.fan ** (level + 1), right.fan ** (level + 1)
-        lab_l, lab_r = label[:split], label[off:]
-        at_l, at_r = np.arange(0, len(lab_l), size_l), np.arange(0, len(lab_r), size_r)
-        lo_l, hi_l = np.minimum.reduceat(lab_l, at_l), np.maximum.reduceat(lab_l, at_l)
-        lo_r, hi_r = np.minimum.reduceat(lab_r, at_r), np.maximum.reduceat(lab_r, at_r)
-        return (lo_l[a] == hi_l[a]) & (lo_r[b] == hi_r[b]) & (lo_l[a] == lo_r[b])
+
+    def __init__(self, v: np.ndarray, begin: np.ndarray, fan: int = FAN):
+        self.v = v
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.place: list[np.ndarray] = []  # the first fingerprint below each node
+        mask, bits, sizes = np.full(len(v), ~np.uint64(0)), v, np.diff(np.append(begin, len(v)))
+        place = np.arange(len(v))
+        while not self.levels or (sizes > 1).any():
+            first, groups = np.cumsum(sizes) - sizes, -(-sizes // fan)
+            at = np.repeat(first - fan * (np.cumsum(groups) - groups), groups) + fan * np.arange(groups.sum())
+            both, none = np.bitwise_and.reduceat(mask & bits, at), np.bitwise_and.reduceat(mask & ~bits, at)
+            count = np.diff(np.append(at, len(mask)))
+            mask, bits, place, sizes = both | none, both, place[at], groups
+            self.levels.append((at, count, mask, bits))
+            self.place.append(place)
+
+    def one_component(self, level: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Node pairs all of whose members have one label already."""
+        low, high = np.minimum.reduceat(label, self.place[level]), np.maximum.reduceat(label, self.place[level])
+        return (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
+
+
+def children(first: np.ndarray, count: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parent pair, child of a, child of b) for all pairs of children; of a node with itself, each pair once."""
+    n = count[a] * count[b]
+    parent = np.repeat(np.arange(len(a)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    wide = count[b][parent]
+    x, y = first[a][parent] + k // wide, first[b][parent] + k % wide
+    once = x <= y
+    return parent[once], x[once], y[once]
+
+
+def link_segments(v: np.ndarray, begin: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], distance: int = DISTANCE, step: int = 1 << 19) -> np.ndarray:
+    """Labels (least index of the component) of ``v`` after linking, in each pair of segments, all that is at the distance.
+
+    The pairs (i <= j, a segment with itself or two segments) descend together from their top nodes: a pair of nodes adds up
+    the differing bits among those shared that its ancestors have not counted, and goes with all its members once the sum
+    passes the distance, or once all are one component.
+    """
+    index = GrayIndex(v, begin)
+    label = np.arange(len(v))
+    own = np.zeros(len(begin), bool)
+    own[pairs[0][pairs[0] == pairs[1]]] = True
+    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(v))))
+    for lag in (1, 2, 3, 4):  # neighbours in Gray order first: most of a dense group becomes one component at once
+        a = np.flatnonzero((of[:-lag] == of[lag:]) & own[of[:-lag]]) if len(v) > lag else np.zeros(0, int)
+        a = a[np.bitwise_count(v[a] ^ v[a + lag]) <= distance]
+        label = roots(len(v), a, a + lag, label)
 
     def descend(level: int, a: np.ndarray, b: np.ndarray, seen: np.ndarray, sum_: np.ndarray) -> None:
         """Node pairs at ``level``; ``seen``: shared bits counted so far; ``sum_``: how many of them differ."""
         nonlocal label
-        for k in range(0, len(a), step):
-            x, y, s, t = a[k : k + step], b[k : k + step], seen[k : k + step], sum_[k : k + step]
-            keep = ~one_component(level, x, y)
+        first, count = index.levels[level][:2]
+        cuts = np.searchsorted(np.cumsum(count[a] * count[b]), np.arange(step, max(step, int((count[a] * count[b]).sum())), step)) + 1
+        for x, y, s, t in zip(*(np.split(z, np.unique(cuts)) for z in (a, b, seen, sum_)), strict=True):
+            keep = ~index.one_component(level, x, y, label)
             x, y, s, t = x[keep], y[keep], s[keep], t[keep]
             if not len(x):
                 continue
-            (p, n), (q, m) = left.children(level, x), right.children(level, y)
-            grid_a, grid_b = np.meshgrid(np.arange(left.fan), np.arange(right.fan), indexing="ij")
-            inside = ((grid_a.ravel()[None] < n[:, None]) & (grid_b.ravel()[None] < m[:, None]))
-            ca, cb = (p[:, None] + grid_a.ravel()[None])[inside], (q[:, None] + grid_b.ravel()[None])[inside]
-            parent = np.nonzero(inside)[0]
-            if other is None:
-                half = ca <= cb
-                ca, cb, parent = ca[half], cb[half], parent[half]
+            parent, ca, cb = children(first, count, x, y)
             if level == 0:
-                hit = np.bitwise_count((left.v[ca] ^ right.v[cb]) & ~s[parent]) + t[parent] <= distance
-                label = roots(len(whole), ca[hit], cb[hit] + off, label)
+                hit = np.bitwise_count((v[ca] ^ v[cb]) & ~s[parent]) + t[parent] <= distance
+                label = roots(len(v), ca[hit], cb[hit], label)
             else:
-                (ma, ba), (mb, bb) = left.levels[level - 1], right.levels[level - 1]
-                new = ma[ca] & mb[cb] & ~s[parent]
-                total = t[parent] + np.bitwise_count((ba[ca] ^ bb[cb]) & new)
+                mask, bits = index.levels[level - 1][2:]
+                new = mask[ca] & mask[cb] & ~s[parent]
+                total = t[parent] + np.bitwise_count((bits[ca] ^ bits[cb]) & new)
                 ok = total <= distance
                 if ok.any():
                     descend(level - 1, ca[ok], cb[ok], (s[parent] | new)[ok], total[ok])
 
-    def start(level: int) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.meshgrid(np.arange(len(left.levels[level][0])), np.arange(len(right.levels[level][0])), indexing="ij")
-        return a.ravel(), b.ravel()
-
-    top = min(top_l, top_r)
-    a, b = start(top)
-    if other is None:
-        a, b = a[a <= b], b[a <= b]
-    new = left.levels[top][0][a] & right.levels[top][0][b]
-    total = np.bitwise_count((left.levels[top][1][a] ^ right.levels[top][1][b]) & new).astype(np.int64)
+    a, b = pairs
+    _, _, mask, bits = index.levels[-1]
+    new = mask[a] & mask[b]
+    total = np.bitwise_count((bits[a] ^ bits[b]) & new).astype(np.int64)
     ok = total <= distance
-    descend(top, a[ok], b[ok], new[ok], total[ok])
-    far = np.flatnonzero(label != np.arange(len(whole)))
-    return list(zip(whole[far].tolist(), whole[label[far]].tolist(), strict=True))
+    descend(len(index.levels) - 1, a[ok], b[ok], new[ok], total[ok])
+    return label
+
+
+def link(v: np.ndarray, distance: int = DISTANCE, other: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Stars that join what is linked among ``v`` (with ``other``: between the two only): (fingerprint, its component's first)."""
+    v = v[np.argsort(gray_rank(v), kind="stable")]
+    begin, pairs = np.zeros(1, int), (np.zeros(1, int), np.zeros(1, int))
+    if other is not None:
+        begin, pairs = np.array([0, len(v)]), (np.zeros(1, int), np.ones(1, int))
+        v = np.concatenate([v, other[np.argsort(gray_rank(other), kind="stable")]])
+    label = link_segments(v, begin, pairs, distance)
+    far = np.flatnonzero(label != np.arange(len(v)))
+    return list(zip(v[far].tolist(), v[label[far]].tolist(), strict=True))
 
 
 def bands(blocks: int, agree: int) -> list[int]:
@@ -224,27 +226,19 @@ def link_distinct(fps: DataFrame, distance: int = DISTANCE, blocks: int = 6, mos
 
         def pairs(cols: list[np.ndarray]) -> pa.RecordBatch | None:
             band, key, i, j, own, fp = cols
-            cut = np.flatnonzero((band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(fp)]])
-            v, out = fp.view(np.uint64), []
-            group = np.repeat(np.arange(len(begin)), end - begin)
-            small = (end - begin <= FAN) & (i[begin] == j[begin])
-            for lag in range(1, FAN):  # small buckets, all at once
-                a = np.flatnonzero((group[:-lag] == group[lag:]) & small[group[:-lag]]) if len(v) > lag else np.zeros(0, int)
-                if not len(a):
-                    break
-                a = a[np.bitwise_count(v[a] ^ v[a + lag]) <= distance]
-                out += zip(v[a].tolist(), v[a + lag].tolist(), strict=True)
-            for g in np.flatnonzero(~small).tolist():
-                x = v[begin[g] : end[g]]
-                o = own[begin[g] : end[g]]
-                two = i[begin[g]] != j[begin[g]]
-                if not two:
-                    out += link(x, distance)
-                elif (o == i[begin[g]]).any() and (o == j[begin[g]]).any():
-                    out += link(x[o == i[begin[g]]], distance, x[o == j[begin[g]]])
-            if out:
-                return pa.RecordBatch.from_arrays([pa.array(np.array([p[k] for p in out], np.uint64).view(np.int64)) for k in (0, 1)], ["a", "b"])
+            task = np.cumsum(np.concatenate([[0], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            v = fp.view(np.uint64)
+            side = (own != i).astype(np.int64)  # a task of two chunks has two segments
+            order = np.lexsort((gray_rank(v), side, task))
+            v, task, side = v[order], task[order], side[order]
+            new = np.concatenate([[True], (task[1:] != task[:-1]) | (side[1:] != side[:-1])])
+            begin = np.flatnonzero(new)
+            two = np.flatnonzero((task[begin][:-1] == task[begin][1:]) & (side[begin][:-1] < side[begin][1:]))
+            one = np.flatnonzero((i == j)[order][begin])
+            label = link_segments(v, begin, (np.concatenate([one, two]), np.concatenate([one, two + 1])), distance)
+            far = np.flatnonzero(label != np.arange(len(v)))
+            if len(far):
+                return pa.RecordBatch.from_arrays([pa.array(v[far].view(np.int64)), pa.array(v[label[far]].view(np.int64))], ["a", "b"])
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
@@ -268,20 +262,26 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHIN
     fp = materialize(fingerprints(docs, words), "fingerprints")
     nodes = materialize(fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = connected_components(link_distinct(nodes.select("fp"), distance, blocks, most))
-    home = nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = home.select("fp", "root").join(home.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return fp.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    home = materialize(nodes.join(found.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "homes")
+    named = materialize(join_skewed(home.select("fp", "root"), home.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id"), "components")
+    return join_skewed(fp, named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE, words: int = COPY_WORDS, similar: float = COPY_SIMILAR, blocks: int = 6, most: int = 4096) -> DataFrame:
     """The documents, one of each group: the smallest doc_id; of its rows in the group, the one whose text hashes least.
 
-    Rows that share a doc_id but no group are kept apart.  A group is what pairs with a shingle Jaccard of ``similar`` or more join, checked on the texts.  At 0.8 two 64-bit
-    fingerprints differ in ten bits on average and in twenty at times, so the Gray index finds the close pairs first and
-    ``shingle_join`` every other one.  Rows without a doc_id can't be named as anyone's copy and stay as they are.
+    Rows that share a doc_id but no group are kept apart.  A group is what pairs with a shingle Jaccard of ``similar`` or more
+    join, checked on the texts.  At 0.8 two 64-bit fingerprints differ in ten bits on average and in twenty at times, so the
+    Gray index finds the close pairs first and ``shingle_join`` every other one.  Rows without a doc_id can't be named as
+    anyone's copy and stay as they are.  Null and empty texts are copies of each other.
     """
-    groups = similar_groups(docs, words, similar, distance, blocks, most)
-    least = groups.where("doc_id is not null").groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.struct(*docs.columns).alias("r"))
-    one = rows.join(least, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.first("r").alias("r")).select("r.*")
-    return one.select(*docs.columns).union(docs.where("doc_id is null"))
+    groups = similar_groups(docs, words, similar, distance, blocks, most).where("doc_id is not null")
+    least = groups.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("r")).select("r.*")
+    alike = groups.groupBy("doc_id", "th").agg(F.count("*").alias("n"))
+    named = materialize(least.join(alike, ["doc_id", "th"]).select("doc_id", F.col("th").alias("th "), "n"), "kept-rows")
+    rows = docs.withColumn("th ", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = rows.join(named.where("n = 1").select("doc_id", "th "), ["doc_id", "th "], "left_semi").select(*docs.columns)
+    if not (again := named.where("n > 1").select("doc_id", "th ")).isEmpty():  # rows that share doc_id and text: one is left
+        one = rows.join(again, ["doc_id", "th "], "left_semi").groupBy("doc_id", "th ").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+        found = found.union(one.select("r.*").select(*docs.columns))
+    return found.union(docs.where("doc_id is null"))
