@@ -4,7 +4,11 @@ A softmax classifier, fitted on at most ``TRAIN_ROWS`` labelled documents (in th
 every document its posterior over the domains.  Rates of the documents then start at 1 and are moved so that the domains'
 expected token totals, the sum of rate * tokens * posterior, match the targets: projected gradient steps on the squared
 residuals, weighted by the inverse of the domains' Gram matrix, each projected on rates of zero or more.  One step is one
-aggregate over a narrow table; a document's rate is a fold over the steps so far, so no rates are kept or joined.
+aggregate over a narrow table; a document's rate is a fold over the steps so far, so no rates are kept or joined.  Steps go on
+until every share is within ``CLOSE`` of its target; where ``ROUNDS`` of them do not get there, as when no document leans to a
+domain that is asked for, a warning names what is left.
+
+The classifier sees a few figures of style and the words, hashed into ``WORDS`` places.
 
 Rows: a null or empty text has no tokens and keeps its rate from the posterior; a null doc_id is carried; repeated rows get
 equal rates; null labels are not trained on, nor are doc_ids whose labels disagree; with no labels all domains are equally
@@ -15,18 +19,21 @@ likely; with no tokens all rates stay 1; an empty table gives no row.  Columns o
 from __future__ import annotations
 
 import math
+import warnings
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from .common import map_rows, materialize
 from .toxicity import Matcher, SEED
 
 TRAIN_ROWS = 8_000
-ROUNDS = 40
+ROUNDS, CLOSE = 200, 1e-6
+WORDS = 512
 
 # Domain -> condition on the labelled table.
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
@@ -34,7 +41,7 @@ TARGETS = {"good": 0.80, "poor": 0.12, "toxic": 0.08}
 
 
 def describer() -> Callable[[str | None], tuple[int, list[float]]]:
-    """text -> (tokens, figures of its style): tokens are runs of visible characters."""
+    """text -> (tokens, figures of its style and its words): tokens are runs of visible characters."""
     insults = Matcher({w: 1.0 for w in SEED}, ())
 
     def describe(text: str | None) -> tuple[int, list[float]]:
@@ -46,10 +53,15 @@ def describer() -> Callable[[str | None], tuple[int, list[float]]]:
         upper = sum(map(str.isupper, words))
         marks = [t.count(c) / m for c in "!|.,"]
         hits = insults.figures(t)[0] if n else 0.0
+        places = np.zeros(WORDS)
+        if n:
+            crc = zlib.crc32
+            places[np.fromiter((crc(w.encode("utf-8", "surrogatepass")) for w in set(words)), np.int64) % WORDS] = 1
+            places /= max(1.0, places.sum() ** 0.5)
         return n, [
             1.0, math.log1p(n) / 10, m / max(1, n) / 10, upper / max(1, n), again / max(1, n), len(set(words)) / max(1, n),
             1 - len(set(lines)) / max(1, len(lines)), *(min(1.0, 20 * x) for x in marks), sum(t.count(d) for d in "0123456789") / m,
-            float(t.isascii()), min(1.0, hits), min(1.0, 20 * hits / max(1, n)), len(lines) / max(1, n),
+            float(t.isascii()), min(1.0, hits), min(1.0, 20 * hits / max(1, n)), len(lines) / max(1, n), *places.tolist(),
         ]
 
     return describe
@@ -74,8 +86,9 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
         describe = describer()
         return lambda c: {"domain": c["domain"], "x": [describe(t)[1] for t in c["text"]]}
 
-    train = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(few), "doc_id").select("domain", "text")
-    got = sorted((r["domain"], r["x"]) for r in map_rows(train, make, "domain int, x array<double>").collect())  # at most ``rows`` of 16 figures
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
+    train = met.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")  # a row per doc_id
+    got = sorted((r["domain"], r["x"]) for r in map_rows(train, make, "domain int, x array<double>").collect())  # at most ``rows`` lists of figures
     width, n = len(describer()("")[1]), len(domains)
     theta = np.zeros((n, width))
     if got:
@@ -114,16 +127,16 @@ def memberships(docs: DataFrame, theta: list[list[float]]) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_tokens long, p array<double>")
 
 
-def folded(steps: list[list[float]]) -> Column:
+def folded(steps: list[list[float]], p: str = "p") -> Column:
     """The rate after ``steps``: each is taken along the posterior, then cut at zero."""
     if not steps:
         return F.lit(1.0)
     moves = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    along = lambda s: sum((s[k] * F.col("p")[k] for k in range(1, len(steps[0]))), s[0] * F.col("p")[0])
+    along = lambda s: sum((s[k] * F.col(p)[k] for k in range(1, len(steps[0]))), s[0] * F.col(p)[0])
     return F.aggregate(moves, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), rate - along(s)))
 
 
-def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, close: float = 1e-6) -> list[list[float]]:
+def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, close: float = CLOSE) -> list[list[float]]:
     """The steps that bring the expected shares of the token total to ``targets`` (of sum 1)."""
     n = len(targets)
     tokens = F.col("n_tokens").cast("double")
@@ -137,8 +150,9 @@ def fit_rates(members: DataFrame, targets: list[float], rounds: int = ROUNDS, cl
         now = members.withColumn("rate", folded(steps)).agg(*[F.sum(F.col("rate") * tokens * F.col("p")[k]).alias(f"s{k}") for k in range(n)]).first()
         left = np.array([now[f"s{k}"] for k in range(n)]) / first["all"] - np.array(targets)
         if np.abs(left).max() <= close:
-            break
+            return steps
         steps.append([round(float(v), 9) for v in inverse @ left])
+    warnings.warn(f"shares differ from the targets by {np.round(left, 6).tolist()} before step {rounds}", stacklevel=2)
     return steps
 
 
@@ -150,33 +164,26 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     return members.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(domains)], folded(steps).alias("rate"))
 
 
-def rate_of(p: list[float], steps: list[list[float]]) -> float:
-    """``folded`` for one document."""
-    rate = 1.0
-    for s in steps:
-        rate = max(0.0, rate - sum(a * b for a, b in zip(s, p, strict=True)))
-    return rate
-
-
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains: dict[str, str]) -> DataFrame:
-    """The documents, each as often as its rate says: the whole part, and once more if the rest beats a hash of the row."""
+    """The documents, each as often as its rate says: the whole part, and once more if the rest beats a hash of the row.
+
+    Each text is classified once: the posteriors are written beside the row, and the steps read those columns alone.
+    """
     theta = fit_classifier(docs, labels, domains)
-    members = materialize(memberships(docs, theta), "memberships")
-    steps = fit_rates(members, [targets[d] for d in domains])
+    schema = StructType([*docs.schema.fields, StructField("n_tokens ", LongType()), StructField("p ", ArrayType(DoubleType()))])
 
     def run(batches):
         import pyarrow as pa
 
         f = posterior(theta)
         for b in batches:
-            if not b.num_rows:
-                continue
-            names = b.schema.names
-            texts, ids = b.column(names.index("text")).to_pylist(), b.column(names.index("doc_id")).to_pylist()
-            take = []
-            for k, (p, d, t) in enumerate(zip(f(texts)[1], ids, texts, strict=True)):
-                chance = zlib.crc32((t or "").encode("utf-8", "surrogatepass"), zlib.crc32(f"mix:{d}:".encode())) / 2**32
-                take += [k] * math.floor(rate_of(p, steps) + chance)
-            yield b.take(pa.array(take, pa.int64()))
-
-    return docs.mapInArrow(run, docs.schema)
+            if b.num_rows:
+                n, p = f(b.column(b.schema.names.index("text")).to_pylist())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], [*b.schema.names, "n_tokens ", "p "])
+
+    beside = materialize(docs.mapInArrow(run, schema), "posteriors")
+    steps = fit_rates(beside.select(F.col("n_tokens ").alias("n_tokens"), F.col("p ").alias("p")), [targets[d] for d in domains])
+    row = F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    times = F.floor(folded(steps, "p ") + F.crc32(row) / 2**32).cast("int")
+    kept = beside.withColumn("n_tokens ", times).where(F.col("n_tokens ") > 0)
+    return kept.withColumn("n_tokens ", F.explode(F.sequence(F.lit(1), F.col("n_tokens ")))).select(*docs.columns)
