@@ -16,12 +16,12 @@ doc_id is carried; empty tables give no row.  Columns other than doc_id, text, i
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -84,7 +84,8 @@ def matcher(items: list[tuple[int, str]], rate: float = RATE) -> Callable[[str |
     known: dict[str, list[int]] = {}
     for item_id, text in items:
         if t := plain(text):
-            known.setdefault(t, []).append(item_id)
+            if item_id not in known.setdefault(t, []):
+                known[t].append(item_id)
     texts = list(known)
     errors = [budget(len(t), rate) for t in texts]
     grams = [{t[i : i + GRAM] for i in range(len(t) - GRAM + 1)} for t in texts]
@@ -140,28 +141,37 @@ def matcher(items: list[tuple[int, str]], rate: float = RATE) -> Callable[[str |
     return search
 
 
-def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The items in blocks: their total is measured first, and each block is collected on its own."""
-    some = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+def item_blocks(items: DataFrame, block_chars: int = BLOCK_CHARS) -> tuple[int, Iterator[list[tuple[int, str]]]]:
+    """(number of blocks, the blocks): their total is measured first, and each block is collected when it is its turn."""
+    some = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = some.agg(F.sum(F.length("text"))).first()[0] or 0
     n = total // block_chars + 1
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in some.where(block == k).orderBy("item_id", "text").collect()] for k in range(n)]
+    return n, ([(r["item_id"], r["text"]) for r in some.where(block == k).orderBy("item_id", "text").collect()] for k in range(n))
+
+
+FOUND = "doc_id long, item_id long, edits int, item_chars int"
 
 
 def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, edits, item_chars): which documents hold which test items."""
+    """(doc_id, item_id, edits, item_chars): which documents hold which test items, a row for each pair.
+
+    Where there are several blocks, each is searched for and its finds written before the next one is fetched.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n, blocks = item_blocks(items, block_chars)
     found = None
-    for block in item_blocks(items, block_chars):
-        part = rows.mapInArrow(_finder(docs, block, rate), "doc_id long, item_id long, edits int, item_chars int")
+    for block in blocks:
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by the block's size
+        part = rows.mapInArrow(_finder(shared, rate), FOUND)
+        if n > 1:
+            part = materialize(part, "leaks")
+            shared.destroy()
         found = part if found is None else found.union(part)
     return found
 
 
-def _finder(docs: DataFrame, block: list[tuple[int, str]], rate: float):
-    shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by the block's size
-
+def _finder(shared, rate: float):
     def run(batches):
         import pyarrow as pa
 
@@ -176,7 +186,8 @@ def _finder(docs: DataFrame, block: list[tuple[int, str]], rate: float):
 
 def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents that hold no test item, with their own columns; each block is a pass without a join."""
-    blocks = item_blocks(items, block_chars)
+    n, blocks = item_blocks(items, block_chars)
+    before = None
     for k, block in enumerate(blocks):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -189,6 +200,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_char
                 yield b.filter(pa.array([not search(t) for t in text], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-        if k + 1 < len(blocks):
+        if k + 1 < n:
             docs = materialize(docs, "decontaminated")
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
