@@ -17,11 +17,11 @@ text of a special token becomes that token's id, as the library has it.  Columns
 
 from __future__ import annotations
 
+import string
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
@@ -90,9 +90,10 @@ class EliasFano:
         return cls(n, k, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c])
 
 
-MEMO_BYTES = 24 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
+MEMO_BYTES = 8 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
 MEMO_CHUNK = 64  # characters of the longest chunk that is kept
 BATCH_BYTES = 6 << 20  # of text that is encoded at a time, one document at least
+TAILS = string.punctuation
 _kept: dict[tuple[str, int], "Encoder"] = {}
 
 
@@ -106,10 +107,10 @@ def encoder(tokenizer_path: str, end_id: int) -> "Encoder":
 class Encoder:
     """Texts -> ids with the end id, by the tokenizers library.
 
-    Byte-level BPE splits a text before every single blank that stands between two visible characters.  So a batch's chunks
-    between such blanks are cut and made distinct by Arrow, only what is new goes to the library, in strings of a thousand,
-    and short chunks are remembered.  Texts with any other run of blanks, or with the text of a special token, are encoded
-    whole, and so is every text where the tokenizer is of another kind.
+    Byte-level BPE splits a text before every single blank that stands between two visible characters, and between a letter
+    or digit and the punctuation that ends such a chunk.  So a batch's chunks are cut and made distinct by Arrow, only new
+    words go to the library, in strings of a thousand, and short ones are remembered.  Texts with any other run of blanks,
+    or with the text of a special token, are encoded whole, and so is every text where the tokenizer is of another kind.
     """
 
     def __init__(self, tokenizer_path: str, end_id: int, memo_bytes: int = MEMO_BYTES):
@@ -146,42 +147,59 @@ class Encoder:
             got += map(raw.__getitem__, map(slice, at, [*at[1:], len(raw)]))
         return got
 
-    def chunks(self, found: list[str], fit: list[bool]) -> list[bytes]:
-        """Ids of distinct chunks, those alone that are ``fit`` to be encoded by themselves."""
-        out = list(map(self.memo.get, found, repeat(b"")))
-        new = [i for i, v in enumerate(out) if not v and fit[i]]
-        chunks = [found[i] for i in new]
-        got = self.learn(chunks)
+    def words(self, found: list[str]) -> list[bytes]:
+        """Ids of distinct words as they stand after a blank."""
+        out = list(map(self.memo.get, found))
+        new = [i for i, v in enumerate(out) if v is None]
+        words = [found[i] for i in new]
+        got = self.learn(words)
         for i, v in zip(new, got, strict=True):
             out[i] = v
         if self.room > 0:
-            small = {c: v for c, v in zip(chunks, got, strict=True) if len(c) <= MEMO_CHUNK}
+            small = {c: v for c, v in zip(words, got, strict=True) if len(c) <= MEMO_CHUNK}
             self.memo.update(small)
             self.room -= 190 * len(small) + sum(map(len, small)) + sum(map(len, small.values()))
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all the texts in a row, end offset of each)."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all the texts, an Arrow array, in a row; end offset of each)."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        odd = [not self.by_chunks or not t or any(s in t for s in self.special) for t in texts]
-        split = pc.split_pattern(pa.array(["" if o else t for o, t in zip(odd, texts, strict=True)], pa.large_string()), " ")
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.equal(texts, "")
+        for s in self.special:
+            odd = pc.or_(odd, pc.match_substring(texts, s))
+        odd = odd.to_numpy(zero_copy_only=False) | (not self.by_chunks)
+        split = pc.split_pattern(pc.if_else(pa.array(odd), "", texts), " ")
         at = split.offsets.to_numpy()
         distinct = split.values.dictionary_encode()
-        codes, found = distinct.indices.to_numpy(), distinct.dictionary.to_pylist()
-        bare = pc.and_(pc.equal(pc.utf8_trim_whitespace(distinct.dictionary), distinct.dictionary), pc.not_equal(distinct.dictionary, ""))
-        ids = self.chunks(found, bare.to_pylist())
+        codes, chunks = distinct.indices.to_numpy(), distinct.dictionary
+        bare = pc.and_(pc.equal(pc.utf8_trim_whitespace(chunks), chunks), pc.not_equal(chunks, ""))
         unfit = ~bare.to_numpy(zero_copy_only=False)[codes]
-        for k in np.unique(np.searchsorted(at, np.flatnonzero(unfit), side="right") - 1).tolist():
-            odd[k] = True
-        n = len(ids)
-        tops = self.whole([t if o else found[codes[a]] for t, o, a in zip(texts, odd, at[:-1].tolist(), strict=True)])
+        odd[np.searchsorted(at, np.flatnonzero(unfit), side="right") - 1] = True
+        # A chunk is a word and its tail: the punctuation after its last letter or digit.
+        cut = pc.utf8_rtrim(chunks, TAILS)
+        word = pc.if_else(pc.and_(bare, pc.match_substring_regex(cut, "[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$")), cut, pc.if_else(bare, chunks, "."))
+        shorter = (pc.binary_length(word).to_numpy() < pc.binary_length(chunks).to_numpy()) & bare.to_numpy(zero_copy_only=False)
+        tail = np.zeros(len(chunks), np.int64)  # number of each chunk's tail; the first one is none
+        which = np.flatnonzero(shorter)
+        tails: dict[str, int] = {"": 0}
+        some = pa.array(which)
+        pairs = zip(chunks.take(some).to_pylist(), pc.utf8_length(word.take(some)).to_pylist(), strict=True)
+        tail[which] = [tails.setdefault(c[n:], len(tails)) for c, n in pairs]
+        words = word.dictionary_encode()
+        ids = self.words(words.dictionary.to_pylist())
+        of = words.indices.to_numpy().astype(np.int64)
+        after = [b"", *self.whole(list(tails)[1:])]
+        tops = self.whole([t if o else h for t, o, h in zip(texts.to_pylist(), odd.tolist(), chunks.take(pa.array(codes[at[:-1]])).to_pylist(), strict=True)])
+        n, m, k = len(ids), len(after), len(texts)
+        both = np.stack([of[codes], n + tail[codes]], 1)
         rows = []
-        for k, o in enumerate(odd):  # a text's head or whole, its chunks, the end id
-            rows += [[n + k], codes[0 if o else at[k] + 1 : 0 if o else at[k + 1]], [n + len(texts)]]
+        for i, (o, a, b) in enumerate(zip(odd.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)):  # head or whole, words and tails, the end id
+            rows += [[n + m + i], [] if o else both[a + 1 : b].ravel(), [n + m + k]]
         row = np.concatenate(rows).astype(np.int64)
-        values = [*ids, *tops, self.end]
+        values = [*ids, *after, *tops, self.end]
         lens = np.fromiter(map(len, values), np.int64, len(values)) // self.size
         begin = np.cumsum(lens) - lens
         each = lens[row]
@@ -230,7 +248,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
                     store, inside = filesystem(path)
                     store.create_dir(inside.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(inside)
-                packed, until = coder.encode(part.column(1).to_pylist())
+                packed, until = coder.encode(part.column(1))
                 ends.append(until + total)
                 total += len(packed)
                 nulls += part.column(0).null_count

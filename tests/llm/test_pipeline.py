@@ -1,5 +1,7 @@
 """The stages in a row, on the smallest tables, against what each must have done."""
 
+import pyarrow as pa
+
 import corpus_pipeline
 from tessera.llm import decontaminate, token_output, toxicity
 from tessera.llm.common import materialize, table
@@ -46,6 +48,6 @@ def test_stages(spark):
     found = decontaminate.matcher(items)
     assert {r.doc_id for r in safe.collect()} == {r.doc_id for r in single.collect() if not found(r.text)}
     assert {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in safe.collect()}
-    want = len(token_output.encoder(token_output.tokenizer_file(), 0).encode([r.text for r in mixed.collect()])[0])
+    want = len(token_output.encoder(token_output.tokenizer_file(), 0).encode(pa.array([r.text for r in mixed.collect()], pa.string()))[0])
     assert tokens.count() == mixed.count() and sum(r.n_tokens for r in tokens.collect()) == want
     assert {r.ids_crc32 for r in corpus_pipeline.run(spark, DATA).collect()} == {r.ids_crc32 for r in tokens.collect()}
