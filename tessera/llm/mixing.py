@@ -40,11 +40,11 @@ DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic =
 TARGETS = {"good": 0.80, "poor": 0.12, "toxic": 0.08}
 
 
-def describer() -> Callable[[str | None], tuple[int, list[float]]]:
+def describer() -> Callable[[str | None], tuple[int, np.ndarray]]:
     """text -> (tokens, figures of its style and its words): tokens are runs of visible characters."""
     insults = Matcher({w: 1.0 for w in SEED}, ())
 
-    def describe(text: str | None) -> tuple[int, list[float]]:
+    def describe(text: str | None) -> tuple[int, np.ndarray]:
         t = text or ""
         words = t.split()
         n, m = len(words), max(1, len(t))
@@ -58,11 +58,12 @@ def describer() -> Callable[[str | None], tuple[int, list[float]]]:
             crc = zlib.crc32
             places[np.fromiter((crc(w.encode("utf-8", "surrogatepass")) for w in set(words)), np.int64) % WORDS] = 1
             places /= max(1.0, places.sum() ** 0.5)
-        return n, [
+        style = [
             1.0, math.log1p(n) / 10, m / max(1, n) / 10, upper / max(1, n), again / max(1, n), len(set(words)) / max(1, n),
             1 - len(set(lines)) / max(1, len(lines)), *(min(1.0, 20 * x) for x in marks), sum(t.count(d) for d in "0123456789") / m,
-            float(t.isascii()), min(1.0, hits), min(1.0, 20 * hits / max(1, n)), len(lines) / max(1, n), *places.tolist(),
+            float(t.isascii()), min(1.0, hits), min(1.0, 20 * hits / max(1, n)), len(lines) / max(1, n),
         ]
+        return n, np.concatenate([style, places])
 
     return describe
 
@@ -84,15 +85,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str],
 
     def make():
         describe = describer()
-        return lambda c: {"domain": c["domain"], "x": [describe(t)[1] for t in c["text"]]}
+        return lambda c: {"domain": c["domain"], "x": [describe(t)[1].astype("<f4").tobytes() for t in c["text"]]}
 
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")
     train = met.groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("domain", "text")  # a row per doc_id
-    got = sorted((r["domain"], r["x"]) for r in map_rows(train, make, "domain int, x array<double>").collect())  # at most ``rows`` lists of figures
+    got = sorted((r["domain"], bytes(r["x"])) for r in map_rows(train, make, "domain int, x binary").collect())  # at most ``rows`` lists of figures
     width, n = len(describer()("")[1]), len(domains)
     theta = np.zeros((n, width))
     if got:
-        x, y = np.array([g[1] for g in got]), np.eye(n)[[g[0] for g in got]]
+        x, y = np.frombuffer(b"".join(g[1] for g in got), "<f4").reshape(len(got), width).astype(float), np.eye(n)[[g[0] for g in got]]
         lr = len(got) / (0.5 * np.linalg.norm(x, 2) ** 2 + 1)
         speed, ahead = np.zeros_like(theta), theta
         for step in range(600):  # accelerated gradient with a small penalty
@@ -106,8 +107,12 @@ def posterior(theta: list[list[float]]) -> Callable[[list[str | None]], tuple[li
     describe, weights = describer(), np.array(theta)
 
     def run(texts: list[str | None]) -> tuple[list[int], list[list[float]]]:
-        both = [describe(t) for t in texts]
-        return [b[0] for b in both], softmax(np.array([b[1] for b in both]), weights).round(6).tolist()
+        tokens, out = [], []
+        for a in range(0, len(texts), 256):
+            both = [describe(t) for t in texts[a : a + 256]]
+            tokens += [b[0] for b in both]
+            out += softmax(np.array([b[1] for b in both]), weights).round(6).tolist()
+        return tokens, out
 
     return run
 
