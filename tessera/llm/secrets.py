@@ -15,6 +15,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,11 +29,12 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{24}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----\s+([A-Za-z0-9+/=\s]{16,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}KEY)-----(\s[A-Za-z0-9+/=\s]{15,}+)-----END \1-----")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 SIGNED = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
 KINDS = ("assign", "access", "hex", "key", "signed")
+CONTAINER = b"openssh-key-v1\0"
 
 
 def der(data: bytes, a: int, b: int, depth: int = 0) -> list[tuple[int, int, int]] | None:
@@ -72,18 +74,29 @@ def der_key(data: bytes) -> bool:
     return tags == [0x02, 0x02] and inner[0][2] - inner[0][1] >= 64 and inner[1][2] - inner[1][1] <= 8
 
 
-def ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields, the first a key type; or the container of such keys."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+def fields_of(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int] | None:
+    """(length-prefixed fields from ``at`` on, ``most`` of them or as many as there are, where they end); None if one is cut short."""
+    out = []
+    while at < len(data) if most is None else len(out) < most:
         n = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
+            return None
+        out.append(data[at + 4 : at + 4 + n])
         at += 4 + n
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", fields[0]) is not None
+    return out, at
+
+
+def ssh_key(data: bytes) -> bool:
+    """Length-prefixed fields, the first a key type; or a container: cipher, key derivation, count, public keys, private part."""
+    if data.startswith(CONTAINER):
+        head = fields_of(data, len(CONTAINER), 3)
+        if head is None or len(data) < head[1] + 4:
+            return False
+        keys = int.from_bytes(data[head[1] : head[1] + 4], "big")
+        rest = fields_of(data, head[1] + 4, min(keys, len(data)) + 1)
+        return rest is not None and keys >= 1 and rest[1] == len(data) and all(not k.startswith(CONTAINER) and ssh_key(k) for k in rest[0][:-1])
+    found = fields_of(data, 0)
+    return found is not None and len(found[0]) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]{3,60}", found[0][0]) is not None
 
 
 def unbase64(text: str) -> bytes | None:
@@ -101,7 +114,7 @@ def signed_token(text: str) -> bool:
     head, body, sign = text.split(".")
     try:
         h, p = (json.loads(unbase64(x) or b"") for x in (head, body))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested deeper than any header is
         return False
     return isinstance(h, dict) and isinstance(p, dict) and isinstance(h.get("alg"), str) and (bool(sign) or h["alg"].lower() == "none")
 
@@ -134,8 +147,11 @@ def confirmed_spans(text: str) -> list[tuple[int, str, int]]:
                 out.append((m.start(), "signed", m.end()))
                 hidden.append((m.start(), m.end()))
     for pattern, decode in ((BASE64, unbase64), (ANY_HEX, lambda x: bytes.fromhex(x) if len(x) % 2 == 0 else None)):
+        hidden.sort()
+        starts = [a for a, _ in hidden]
         for m in pattern.finditer(text):
-            if any(a <= m.start() < b for a, b in hidden):
+            k = bisect_right(starts, m.start())  # what is hidden does not overlap
+            if k and m.start() < hidden[k - 1][1]:
                 continue
             data = decode(m[0])
             if data and (der_key(data) or ssh_key(data)):
