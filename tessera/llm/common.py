@@ -32,10 +32,10 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and reread it: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in ``folder`` or the shared folder and reread it: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = fresh_path(spark, label)
+    path = folder or fresh_path(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = path

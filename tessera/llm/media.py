@@ -1,6 +1,7 @@
 """Media columns: PNG images of binary payloads, read back through their chunks, with perceptual hashes.
 
-An image is 8-bit grey, 64 samples wide.  The reader walks the chunks, tests every CRC-32, inflates the image data and
+An image is 8-bit grey, 64 samples wide, each row filtered by what leaves the least in it, and stored in a binary column of
+a written table; what is reported comes from the bytes read back from there.  The reader walks the chunks, tests every CRC-32, inflates the image data and
 undoes the five row filters with numpy; the feature is the sign pattern of the lowest 8 x 8 terms of a cosine transform
 over the image averaged to 32 x 32.
 
@@ -18,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialize
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -29,20 +30,28 @@ def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def encode_png(samples: bytes, width: int = WIDTH, row_filter: int = 0, level: int = 6) -> bytes:
-    """A grey image of ``samples``, as many rows as they fill; ``row_filter`` 0 to 4 is used for every row."""
+def encode_png(samples: bytes, width: int = WIDTH, row_filter: int | None = None, level: int = 6) -> bytes:
+    """A grey image of ``samples``, as many rows as they fill; ``row_filter`` 0 to 4 for every row, or None to choose by row.
+
+    The choice is among 0, 1 and 2: the one whose row has the least sum of absolute signed differences, the first of equals.
+    """
     x = np.frombuffer(samples, np.uint8).reshape(-1, width)
     rows = np.empty((len(x), width + 1), np.uint8)
-    rows[:, 0] = row_filter
     left, up = np.zeros_like(x), np.zeros_like(x)
     left[:, 1:], up[1:] = x[:, :-1], x[:-1]
-    if row_filter == 4:
-        corner = np.zeros_like(x)
-        corner[1:, 1:] = x[:-1, :-1]
-        guess = paeth(left, up, corner)
+    if row_filter is None:
+        each = np.stack([x, x - left, x - up])
+        best = np.abs(each.view(np.int8).astype(np.int16)).sum(axis=2).argmin(axis=0)
+        rows[:, 0], rows[:, 1:] = best, each[best, np.arange(len(x))]
     else:
-        guess = (0, left, up, ((left.astype(np.uint16) + up) // 2).astype(np.uint8))[row_filter]
-    rows[:, 1:] = x - guess
+        rows[:, 0] = row_filter
+        if row_filter == 4:
+            corner = np.zeros_like(x)
+            corner[1:, 1:] = x[:-1, :-1]
+            guess = paeth(left, up, corner)
+        else:
+            guess = (0, left, up, ((left.astype(np.uint16) + up) // 2).astype(np.uint8))[row_filter]
+        rows[:, 1:] = x - guess
     head = struct.pack(">IIBBBBB", width, len(x), 8, 0, 0, 0, 0)
     return SIGNATURE + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
 
@@ -137,32 +146,45 @@ def cosine_hash(x: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
-def columns(text: str | None) -> dict:
-    """Store a text's bytes as an image, read it back, and describe both."""
+def payload(text: str | None) -> tuple[int, bytes]:
+    """(bytes of the text, those bytes up to a positive multiple of the width)."""
     raw = (text or "").encode("utf-8", "surrogatepass")
-    padded = raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
-    png = encode_png(padded)
+    return len(raw), raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
+
+
+def described(png: bytes) -> dict:
+    """What a stored image holds."""
     image = decode_png(png)
     back = image.tobytes()
     return {
-        "n_bytes": len(raw), "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]),
-        "media_bytes": len(png), "media_sha256": hashlib.sha256(png).hexdigest(), "feature": cosine_hash(image), "media": png,
+        "payload_bytes": len(back), "payload_sha256": hashlib.sha256(back).hexdigest(), "tail_crc32": zlib.crc32(back[-64:]),
+        "media_bytes": len(png), "media_sha256": hashlib.sha256(png).hexdigest(), "feature": cosine_hash(image),
     }
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def store(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write every document as an image: a table (doc_id, n_bytes, media binary) in ``folder`` or in the shared folder."""
+
+    def make():
+        def write(c: dict[str, list]) -> dict[str, list]:
+            both = [payload(t) for t in c["text"]]
+            return {"doc_id": c["doc_id"], "n_bytes": [n for n, _ in both], "media": [encode_png(p) for _, p in both]}
+
+        return write
+
+    return materialize(map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_bytes long, media binary"), "media", folder)
 
 
-def media_columns(docs: DataFrame, with_media: bool = True) -> DataFrame:
-    """A row per document; ``media`` is the image itself."""
-    schema = f"doc_id long, {SCHEMA}" + ", media binary" * with_media
-    names = [x.split()[0] for x in schema.split(", ")][1:]
+def describe(stored: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored images."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [x.split()[0] for x in schema.split(", ")][2:]
 
     def make():
         def read(c: dict[str, list]) -> dict[str, list]:
-            rows = [columns(t) for t in c["text"]]
-            return {"doc_id": c["doc_id"]} | {n: [r[n] for r in rows] for n in names}
+            rows = [described(bytes(m)) for m in c["media"]]
+            return {"doc_id": c["doc_id"], "n_bytes": c["n_bytes"]} | {n: [r[n] for r in rows] for n in names}
 
         return read
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, schema)
+    return map_rows(stored.select("doc_id", "n_bytes", "media"), make, schema)

@@ -46,7 +46,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_columns(table(spark, sf_dir, "documents"), with_media=False)
+    return media.describe(media.store(table(spark, sf_dir, "documents")))
 
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
