@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker; functions come with each task anew, and so do their globals."""
+    return sys.modules.setdefault("tessera worker state", ModuleType("tessera worker state")).__dict__
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Apply ``make()(columns) -> columns`` to every Arrow batch of ``df``; ``make`` runs once per task."""
 

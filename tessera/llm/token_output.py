@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, worker_state
 
 FOOTER = "<8sIQQQqQQII"
 FOOTER_SIZE = struct.calcsize(FOOTER)
@@ -90,18 +90,18 @@ class EliasFano:
         return cls(n, k, data[at : at + a], data[at + a : at + a + b], data[at + a + b : at + a + b + c])
 
 
-MEMO_BYTES = 8 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
+MEMO_BYTES = 96 << 20  # per Python worker: about what remembered chunks take; later ones are encoded without being kept
 MEMO_CHUNK = 64  # characters of the longest chunk that is kept
-BATCH_BYTES = 6 << 20  # of text that is encoded at a time, one document at least
+BATCH_BYTES = 8 << 20  # of text that is encoded at a time, one document at least
 TAILS = string.punctuation
-_kept: dict[tuple[str, int], "Encoder"] = {}
 
 
 def encoder(tokenizer_path: str, end_id: int) -> "Encoder":
     """The worker's encoder, made once."""
-    if (tokenizer_path, end_id) not in _kept:
-        _kept[tokenizer_path, end_id] = Encoder(tokenizer_path, end_id)
-    return _kept[tokenizer_path, end_id]
+    kept = worker_state()
+    if ("encoder", tokenizer_path, end_id) not in kept:
+        kept["encoder", tokenizer_path, end_id] = Encoder(tokenizer_path, end_id)
+    return kept["encoder", tokenizer_path, end_id]
 
 
 class Encoder:
