@@ -7,9 +7,11 @@ whatever the size of the corpus.  A bucket of more than ``most`` sets is cut int
 bucket is capped.
 
 There are two rounds, and counts of a set's hashes in ``BINS`` bins, which bound what two sets share from above, drop most
-chance meetings before any shingle is moved.  The first takes the links that the Gray index gives and neighbours in buckets,
-so that dense groups become one component with few checks; the second takes every pair of a bucket whose sets are not one
-component yet.
+chance meetings before any shingle is moved.  The first takes the links that the Gray index gives and, in each bucket, neighbours
+by size and the star around the set whose fingerprint is nearest to the majority of the bucket's bits: copies of one text are
+like that text, if not always like each other, so dense groups become one component with a few checks for each member.  The
+second takes every pair of a bucket whose sets are not one component yet, unless their fingerprints differ in more than
+``FAR`` bits, which a pair at 0.8 does with a probability below 1e-6.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .common import discard, join_skewed, map_rows, materialize
 from .components import connected_components
 
 BANDS, ROWS = 48, 6
-SMALL, BINS, BITS = 64, 256, 1 << 23
+SMALL, BINS, BITS, FAR, BLOCK = 64, 256, 1 << 23, 26, 1 << 20
 
 
 def hash_family(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -80,68 +82,93 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
 
 
 def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, every: bool) -> DataFrame:
-    """(a, b) of ``met`` (k, key, n, root): neighbours of a bucket by size, or ``every`` pair of unlike roots that can be similar."""
+    """(a, b) of ``met`` (k, key, n, fp, root): neighbours and the star of a bucket, or ``every`` pair of unlike roots that can be similar."""
     dealt = join_skewed(met, sizes, "k")
     chunks = F.ceil(F.col("c") / most).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    tasks = dealt.select("k", "key", "n", "root", own.alias("own"), F.explode(pair).alias("p")).select("k", "p.i", "p.j", "n", "key", "root", "own")
+    tasks = dealt.select("k", "key", "n", "fp", "root", own.alias("own"), F.explode(pair).alias("p")).select("k", "p.i", "p.j", "n", "key", "fp", "root", "own")
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def fits(cols: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            _, i, j, n, key, root, own = cols
-            ok = (root[a] != root[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
-            return ok & (np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-6)
-
-        def pairs(cols: list[np.ndarray]) -> pa.RecordBatch | None:
-            k, i, j = cols[:3]
-            cut = np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(k)]])
-            group = np.repeat(np.arange(len(begin)), end - begin)
-            small = end - begin <= SMALL
-            found = []
-
-            def take(a: np.ndarray, b: np.ndarray) -> None:
-                ok = fits(cols, a, b)
-                x, y = cols[4][a[ok]], cols[4][b[ok]]
-                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-
-            for lag in range(1, SMALL if every else 2):
-                a = np.flatnonzero((group[:-lag] == group[lag:]) & (small[group[:-lag]] | (not every))) if len(k) > lag else np.zeros(0, int)
+        def blocks(cols: list[np.ndarray]) -> Iterator[np.ndarray]:
+            """Candidate pairs, some of them more than once."""
+            k, i, j, n, key, fp, root, own = cols
+            fp = fp.view(np.uint64)
+
+            def take(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                ok = (root[a] != root[b]) & ((i[a] == j[a]) | (own[a] != own[b]))
+                ok &= np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-6
+                a, b = a[ok], b[ok]
+                near = np.bitwise_count(fp[a] ^ fp[b]) <= FAR
+                x, y = key[a[near]], key[b[near]]
+                return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
+
+            begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            size = np.diff(np.append(begin, len(k)))
+            group = np.repeat(np.arange(len(begin)), size)
+            small = (size <= SMALL)[group]
+            if not every:
+                a = np.flatnonzero(group[:-1] == group[1:])
+                yield take(a, a + 1)
+                votes = np.add.reduceat(np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32), begin, axis=0)
+                middle = np.packbits(2 * votes > size[:, None], axis=1).view(np.uint64).ravel()
+                far = np.bitwise_count(fp ^ middle[group]).astype(np.int64)
+                hub = np.lexsort((key, far, group))[begin]
+                a = np.flatnonzero(hub[group] != np.arange(len(k)))
+                yield take(hub[group[a]], a)
+                return
+            for lag in range(1, SMALL):
+                a = np.flatnonzero((group[:-lag] == group[lag:]) & small[:-lag]) if len(k) > lag else np.zeros(0, int)
                 if not len(a):
                     break
-                take(a, a + lag)
-            for g in np.flatnonzero(~small).tolist() if every else []:
-                n = cols[3][begin[g] : end[g]]  # in order of size
-                reach = np.searchsorted(n, n / similar + 1e-6, side="right")
-                for x in range(len(n) - 1):
-                    if reach[x] > x + 1:
-                        b = np.arange(x + 1, reach[x]) + begin[g]
-                        take(np.full(len(b), x + begin[g]), b)
-            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            if len(both):
-                return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                yield take(a, a + lag)
+            for g in np.flatnonzero(size > SMALL).tolist():  # in order of size
+                m = n[begin[g] : begin[g] + size[g]]
+                reach = np.minimum(np.searchsorted(m, m / similar + 1e-6, side="right"), size[g]) - np.arange(size[g]) - 1
+                at = 0
+                while at < size[g]:  # as many rows as make a block of pairs
+                    to = max(at + 1, int(np.searchsorted(np.cumsum(reach[at:]), BLOCK, side="right")) + at)
+                    r = reach[at:to]
+                    a = np.repeat(np.arange(at, to), r)
+                    b = a + 1 + np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r)
+                    yield take(a + begin[g], b + begin[g])
+                    at = to
+
+        def pairs(cols: list[np.ndarray]) -> Iterator:
+            held, count = [], 0
+            for block in blocks(cols):
+                held.append(block)
+                count += len(block)
+                if count >= BLOCK:
+                    yield batch_of(held)
+                    held, count = [], 0
+            if count:
+                yield batch_of(held)
+
+        def batch_of(held: list[np.ndarray]) -> pa.RecordBatch:
+            both = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(7)]
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
             at = int(last[-1]) + 1 if len(last) else 0
-            if at and (got := pairs([x[:at] for x in cols])):
-                yield got
+            if at:
+                yield from pairs([x[:at] for x in cols])
             rest = [x[at:] for x in cols]
-        if rest is not None and len(rest[0]) and (got := pairs(rest)):
-            yield got
+        if rest is not None and len(rest[0]):
+            yield from pairs(rest)
 
     return tasks.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n", "key").mapInArrow(search, "a long, b long").distinct()
 
 
 def shared_only(dealt: DataFrame) -> DataFrame:
-    """The rows of ``dealt`` (k, key, n) whose k occurs more than once, by one shuffle."""
+    """The rows of ``dealt`` (k, key, n, fp) whose k occurs more than once, by one shuffle."""
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -160,7 +187,7 @@ def shared_only(dealt: DataFrame) -> DataFrame:
         if carried:
             yield rest
 
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(search, "k long, key long, n int")
+    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(search, "k long, key long, n int, fp long")
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
@@ -225,7 +252,7 @@ def similar_groups(docs: DataFrame, words: int, similar: float, distance: int, b
     rows = materialize(sketches(texts, words), "sketches")
     firsts = [F.first(x).alias(x) for x in ("fp", "n", "bands", "bins")]
     nodes = materialize(rows.groupBy("key").agg(F.min("th").alias("th"), *firsts), "sets")
-    dealt = nodes.select("key", "n", F.explode("bands").alias("k")).select("k", "key", "n")
+    dealt = nodes.select("key", "n", "fp", F.explode("bands").alias("k")).select("k", "key", "n", "fp")
     met = materialize(shared_only(dealt).withColumn("root", F.col("key")), "shared-bands")
     first = nodes.groupBy("fp").agg(F.min("key").alias("least"))
     stars = link_distinct(first.select("fp"), distance, blocks, most)
