@@ -7,7 +7,7 @@ whatever the size of the corpus.  A bucket of more than ``most`` sets is cut int
 bucket is capped.
 
 There are two rounds, and counts of a set's hashes in ``BINS`` bins, which bound what two sets share from above, drop most
-chance meetings before any shingle is moved.  The first takes the links that the Gray index gives and, in each bucket, neighbours
+chance meetings inside their bucket, so that what leaves it follows the links and not the square of its size.  The first takes the links that the Gray index gives and, in each bucket, neighbours
 by size and the star around the set whose fingerprint is nearest to the majority of the bucket's bits: copies of one text are
 like that text, if not always like each other, so dense groups become one component with a few checks for each member.  The
 second takes every pair of a bucket whose sets are not one component yet, unless their fingerprints differ in more than
@@ -54,7 +54,7 @@ def bands_of(s: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> list[int]:
 def sketches(texts: DataFrame, words: int) -> DataFrame:
     """(doc_id, th, fp, key, n, bands, bins) of every row of ``texts`` (doc_id, text, th): ``key`` names the set, ``n`` is its size.
 
-    ``bins`` is empty where a count passes a byte: such a set is never dropped by the bound.
+    ``bins`` are full where a count passes a byte, so that such a set is never dropped by the bound.
     """
     from .simhash import majority, shingle_hashes, signed
 
@@ -73,7 +73,7 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
                 out["n"].append(len(s))
                 out["bands"].append(bands_of(s, family))
                 counts = np.bincount((s & np.uint64(BINS - 1)).astype(int), minlength=BINS)
-                out["bins"].append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"")
+                out["bins"].append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else b"\xff" * BINS)
             return out
 
         return f
@@ -82,19 +82,19 @@ def sketches(texts: DataFrame, words: int) -> DataFrame:
 
 
 def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, every: bool) -> DataFrame:
-    """(a, b) of ``met`` (k, key, n, fp, root): neighbours and the star of a bucket, or ``every`` pair of unlike roots that can be similar."""
+    """(a, b) of ``met`` (k, key, n, fp, root, bins): neighbours and the star of a bucket, or ``every`` pair of unlike roots that can be similar."""
     dealt = join_skewed(met, sizes, "k")
     chunks = F.ceil(F.col("c") / most).cast("int")
     own = F.pmod(F.xxhash64("key"), chunks).cast("int")
     pair = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    tasks = dealt.select("k", "key", "n", "fp", "root", own.alias("own"), F.explode(pair).alias("p")).select("k", "p.i", "p.j", "n", "key", "fp", "root", "own")
+    tasks = dealt.select("k", "key", "n", "fp", "root", own.alias("own"), "bins", F.explode(pair).alias("p")).select("k", "p.i", "p.j", "n", "key", "fp", "root", "own", "bins")
 
     def search(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def blocks(cols: list[np.ndarray]) -> Iterator[np.ndarray]:
             """Candidate pairs, some of them more than once."""
-            k, i, j, n, key, fp, root, own = cols
+            k, i, j, n, key, fp, root, own, bins = cols
             fp = fp.view(np.uint64)
 
             def take(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,7 +102,13 @@ def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, ever
                 ok &= np.minimum(n[a], n[b]) >= similar * np.maximum(n[a], n[b]) - 1e-6
                 a, b = a[ok], b[ok]
                 near = np.bitwise_count(fp[a] ^ fp[b]) <= FAR
-                x, y = key[a[near]], key[b[near]]
+                a, b = a[near], b[near]
+                fits = np.zeros(len(a), bool)
+                for at in range(0, len(a), 1 << 14):
+                    p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+                    room = np.minimum(bins[p], bins[q]).sum(axis=1, dtype=np.int64)
+                    fits[at : at + (1 << 14)] = (room * (1 + similar) >= similar * (n[p].astype(float) + n[q]) - 1e-6) | (np.minimum(n[p], n[q]) > 128 * BINS)
+                x, y = key[a[fits]], key[b[fits]]
                 return np.stack([np.minimum(x, y), np.maximum(x, y)], 1)
 
             begin = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
@@ -154,6 +160,7 @@ def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, ever
         rest: list[np.ndarray] | None = None
         for batch in batches:
             cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in range(8)]
+            cols.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(-1, BINS))
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
@@ -190,23 +197,6 @@ def shared_only(dealt: DataFrame) -> DataFrame:
     return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(search, "k long, key long, n int, fp long")
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame, similar: float) -> DataFrame:
-    """The pairs whose bins leave room for the similarity."""
-    side = lambda x: nodes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
-
-    def make():
-        def f(c):
-            ok = []
-            for m, n, s, t in zip(c["n_a"], c["n_b"], c["bins_a"], c["bins_b"], strict=True):
-                room = int(np.minimum(np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8)).sum()) if s and t else min(m, n)
-                ok.append(room * (1 + similar) >= similar * (m + n) - 1e-6)
-            return {x: [v for v, y in zip(c[x], ok, strict=True) if y] for x in ("a", "b")}
-
-        return f
-
-    return map_rows(pairs.join(side("a"), "a").join(side("b"), "b"), make, "a long, b long")
-
-
 def holding(texts: DataFrame, need: DataFrame) -> DataFrame:
     """Rows of ``texts`` whose th can be in ``need`` (some others pass too): a bitmap, so that few texts are shuffled."""
     at = need.select(F.pmod("th", F.lit(BITS)).cast("int").alias("x")).distinct().toArrow().column(0).to_numpy()
@@ -228,7 +218,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
     """The pairs (a, b) of keys whose shingle sets are similar; sets are made from the texts of those that are candidates."""
     from .simhash import shingle_hashes
 
-    pairs = materialize(bounded(pairs, nodes, similar), "candidates")
+    pairs = materialize(pairs, "candidates")
     need = materialize(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct().join(nodes.select("key", "th"), "key"), "candidate-sets")
     one = holding(texts, need).groupBy("th").agg(F.first("text").alias("text"))
 
@@ -253,7 +243,7 @@ def similar_groups(docs: DataFrame, words: int, similar: float, distance: int, b
     firsts = [F.first(x).alias(x) for x in ("fp", "n", "bands", "bins")]
     nodes = materialize(rows.groupBy("key").agg(F.min("th").alias("th"), *firsts), "sets")
     dealt = nodes.select("key", "n", "fp", F.explode("bands").alias("k")).select("k", "key", "n", "fp")
-    met = materialize(shared_only(dealt).withColumn("root", F.col("key")), "shared-bands")
+    met = materialize(shared_only(dealt).join(nodes.select("key", "bins"), "key").withColumn("root", F.col("key")), "shared-bands")
     first = nodes.groupBy("fp").agg(F.min("key").alias("least"))
     stars = link_distinct(first.select("fp"), distance, blocks, most)
     gray = stars.join(first.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
