@@ -77,6 +77,12 @@ def worker_state() -> dict:
     return sys.modules.setdefault("tessera worker state", ModuleType("tessera worker state")).__dict__
 
 
+def slices(batch, most_bytes: int = 2 << 20) -> Iterator:
+    """The batch in slices of about ``most_bytes``, a row at least."""
+    step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
+    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[str, list]]], schema: str) -> DataFrame:
     """Apply ``make()(columns) -> columns`` to every Arrow batch of ``df``; ``make`` runs once per task."""
 
@@ -89,7 +95,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
         import pyarrow as pa
 
         f = make()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             if batch.num_rows:
                 out = f({n: batch.column(i).to_pylist() for i, n in enumerate(batch.schema.names)})
                 yield pa.RecordBatch.from_pydict({k: out[k] for k in arrow.names}, schema=arrow)

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, slices
 
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -176,7 +176,7 @@ def _finder(shared, rate: float):
         import pyarrow as pa
 
         search = matcher(shared.value, rate)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             got = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in search(t)]
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "edits", "item_chars"])
@@ -195,7 +195,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_char
             import pyarrow as pa
 
             search = matcher(shared.value, rate)
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole)):
                 text = b.column(b.schema.names.index("text")).to_pylist()
                 yield b.filter(pa.array([not search(t) for t in text], pa.bool_()))
 

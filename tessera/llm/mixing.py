@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, slices
 from .toxicity import Matcher, SEED
 
 TRAIN_ROWS = 8_000
@@ -181,7 +181,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains:
         import pyarrow as pa
 
         f = posterior(theta)
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             if b.num_rows:
                 n, p = f(b.column(b.schema.names.index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], [*b.schema.names, "n_tokens ", "p "])

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, worker_state
+from .common import fresh_path, materialize, slices, worker_state
 
 FOOTER = "<8sIQQQqQQII"
 FOOTER_SIZE = struct.calcsize(FOOTER)
@@ -214,12 +214,6 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def slices(batch, most_bytes: int) -> Iterator:
-    """The batch in slices of about ``most_bytes``, a row at least."""
-    step = max(1, int(batch.num_rows * most_bytes / max(1, batch.nbytes)))
-    return (batch.slice(a, step) for a in range(0, batch.num_rows, step))
-
-
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
     """Encode ``docs`` into shard files under ``folder``; returns the manifest (shard, path, n_docs, n_ids, base).
 
