@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import benches
-from tessera.sources.adapters import DETS, KEYS, SPANS, dets, keys, spans, table, words
+from tessera.sources.adapters import DETS, DOC_WORDS, KEYS, SPANS, WORDS, dets, doc_words, keys, spans, table, words
 
 from .detection_queries import COVERAGE, coverage, iou_sql
 from .registry import query
@@ -100,17 +98,18 @@ ALL_OF = ("the", "in the")
 def open_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of phrases to redact everywhere, without those that are redacted in full."""
     w = words(spark, sf_dir)
-    hits = [text.phrase_hits(w, p).select("media_id", F.col("idx").alias("i0"), (F.col("idx") + p.count(" ")).alias("i1"), F.lit(p).alias("phrase")) for p in ALL_OF]
-    return benches.still_open(reduce(DataFrame.unionByName, hits), w, muted(spark, sf_dir))
+    size = F.size(F.split("phrase", " "))
+    hits = text.phrase_hits(w, list(ALL_OF)).select("media_id", F.col("idx").alias("i0"), (F.col("idx") + size - 1).alias("i1"), "phrase")
+    return benches.still_open(hits, w, muted(words(spark, sf_dir)))
 
 
-@query(f"""{RANGE_SQL}, {RANGES}, d AS (SELECT *, CASE WHEN regexp_matches(norm, '^[0-9]+$') THEN norm ELSE CASE norm {DIGIT_SQL.split('ELSE CASE norm ')[1].split(' END END')[0]} END END AS digit FROM words),
+@query(f"""{RANGE_SQL.replace(WORDS, DOC_WORDS)}, {RANGES}, d AS (SELECT *, CASE WHEN regexp_matches(norm, '^[0-9]+$') THEN norm ELSE CASE norm {DIGIT_SQL.split('ELSE CASE norm ')[1].split(' END END')[0]} END END AS digit FROM words),
  g AS (SELECT *, idx - row_number() OVER (PARTITION BY media_id ORDER BY idx) AS run FROM d WHERE digit IS NOT NULL), h AS (SELECT media_id, min(idx) AS i0, max(idx) AS i1, string_agg(digit, '' ORDER BY idx) AS digits FROM g GROUP BY media_id, run)
  SELECT media_id, i0, i1, digits FROM h WHERE EXISTS (SELECT 1 FROM words w WHERE w.media_id = h.media_id AND w.idx BETWEEN i0 AND i1 AND NOT {HIDDEN})""")
 def open_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of digits that are not redacted in full."""
-    w = words(spark, sf_dir)
-    return benches.still_open(text.digit_runs(w).select("media_id", "i0", "i1", "digits"), w, muted(spark, sf_dir))
+    w = doc_words(spark, sf_dir)
+    return benches.still_open(text.digit_runs(w).select("media_id", "i0", "i1", "digits"), w, muted(w))
 
 
 @query(f"""{RANGE_SQL}, {RANGES}, a AS (SELECT media_id, min(start_s) AS from_s, max(end_s) AS to_s FROM words WHERE idx % 40 BETWEEN 10 AND 14 GROUP BY media_id, idx // 40)
@@ -118,7 +117,7 @@ def open_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unredacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Muted ranges left after five words in every forty were chosen to be heard."""
     heard = words(spark, sf_dir).where("idx % 40 between 10 and 14").groupBy("media_id", F.floor(F.col("idx") / 40).alias("part")).agg(F.min("start_s").alias("from_s"), F.max("end_s").alias("to_s")).drop("part")
-    return benches.unredact(muted(spark, sf_dir).drop("n"), heard)
+    return benches.unredact(muted(words(spark, sf_dir)).drop("n"), heard)
 
 
 TAGS = "SELECT user_id % 8 AS file, event_type AS section, CASE event_id % 7 WHEN 0 THEN 'encoder' ELSE 'k' || CAST(event_id % 7 AS VARCHAR(9)) END AS key, props AS value, value AS rank FROM events"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions.geometry import Box
-from tessera.operators import greedy
+from tessera.operators import gates, greedy
 from tessera.operators.intervals import gap_runs
 from tessera.sources.adapters import DETS, dets, table
 
@@ -46,9 +46,9 @@ def iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("a", "b", g.iou(Box.of("a_"), Box.of("b_")).alias("iou")).where("iou > 0")
 
 
-@query(f"WITH d AS ({DETS}) SELECT p.det_no AS a, q.det_no AS b FROM d p JOIN d q ON p.media_id = q.media_id AND p.frame = q.frame AND p.label = q.label AND p.det_no < q.det_no WHERE {inter('p', 'q')} >= 0.75::DOUBLE * (q.w * q.h)")
+@query(f"WITH d AS ({DETS}) SELECT p.det_no AS a, q.det_no AS b FROM d p JOIN d q ON p.media_id = q.media_id AND p.frame = q.frame AND p.label = q.label AND p.det_no < q.det_no WHERE {inter('p', 'q')} >= 0.85::DOUBLE * (q.w * q.h)")
 def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).where(g.contains(Box.of("a_"), Box.of("b_"), 0.75)).select("a", "b")
+    return pairs(spark, sf_dir).where(g.contains(Box.of("a_"), Box.of("b_"), 0.85)).select("a", "b")
 
 
 @query(f"WITH d AS ({DETS}) SELECT label, count(*) AS n, avg(score) AS mean_score, max(score) AS best FROM d WHERE score > CASE label WHEN 'face' THEN 0.75::DOUBLE WHEN 'license_plate' THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AND frame % 5 = 0 GROUP BY label")
@@ -58,36 +58,42 @@ def sampled_above_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dets(spark, sf_dir).where((F.col("score") > least) & (F.col("frame") % 5 == 0)).groupBy("label").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"), F.max("score").alias("best"))
 
 
-GROWN = "(SELECT media_id, frame, greatest(x - w / 16, 0) AS x, greatest(y - h / 16, 0) AS y, least(x + w + w / 16, 1) - greatest(x - w / 16, 0) AS w, least(y + h + h / 16, 1) - greatest(y - h / 16, 0) AS h FROM d WHERE label = 'car')"
+GROWN = "(SELECT media_id, frame, least(greatest(x - 0.08::DOUBLE * w, 0), 1) AS x, least(greatest(y - 0.08::DOUBLE * h, 0), 1) AS y, least(greatest(x + 1.08::DOUBLE * w, 0), 1) - least(greatest(x - 0.08::DOUBLE * w, 0), 1) AS w, least(greatest(y + 1.08::DOUBLE * h, 0), 1) - least(greatest(y - 0.08::DOUBLE * h, 0), 1) AS h FROM d WHERE label = 'car')"
 
 
-@query(f"WITH d AS ({DETS}), v AS {GROWN} SELECT det_no, media_id, frame, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.media_id = d.media_id AND v.frame = d.frame AND {inter('v', 'd')} >= 0.5::DOUBLE * (d.w * d.h)) THEN 'plate' ELSE 'plate_ungated' END AS gated FROM d WHERE label = 'license_plate'")
+@query(f"WITH d AS ({DETS}), v AS {GROWN} SELECT det_no, media_id, frame, CASE WHEN EXISTS (SELECT 1 FROM v WHERE v.media_id = d.media_id AND v.frame = d.frame AND {inter('v', 'd')} >= 0.6::DOUBLE * (d.w * d.h)) THEN 'plate' ELSE 'plate_ungated' END AS gated FROM d WHERE label = 'license_plate'")
 def vehicle_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plates half inside a grown vehicle of their frame, and those that are not."""
-    d = dets(spark, sf_dir)
-    plates = d.where("label = 'license_plate'").select("det_no", "media_id", "frame", *Box.of().columns("p_"))
-    cars = d.where("label = 'car'").select("media_id", "frame", *g.grow(Box.of(), 1 / 16).columns("v_"))
-    on = plates.join(cars, ["media_id", "frame"]).where(g.contains(Box.of("v_"), Box.of("p_"), 0.5)).select("det_no").distinct().withColumn("on_car", F.lit(True))
-    return plates.join(on, "det_no", "left").select("det_no", "media_id", "frame", F.when(F.col("on_car"), "plate").otherwise("plate_ungated").alias("gated"))
+    """Plates by three fifths inside a grown vehicle of their frame, and those that are not."""
+    return gates.vehicle_gate(dets(spark, sf_dir))
 
 
-@query(f"""WITH d AS ({DETS}) SELECT det_no, media_id, frame, x + w * 0.25::DOUBLE AS x, y, w * 0.5::DOUBLE AS w, h * 0.25::DOUBLE AS h, score * 0.875::DOUBLE AS score FROM d
- WHERE label = 'person' AND h >= 0.125::DOUBLE AND w <= 1.5::DOUBLE * h AND NOT EXISTS (SELECT 1 FROM d f WHERE f.label = 'face' AND f.media_id = d.media_id AND f.frame = d.frame AND {inter('d', 'f')} >= 0.5::DOUBLE * (f.w * f.h))""")
+@query(f"""WITH d AS ({DETS}) SELECT det_no, media_id, frame, x + w * ((1 - 0.45::DOUBLE) / 2) AS x, y, w * 0.45::DOUBLE AS w, h * 0.22::DOUBLE AS h, score * 0.9::DOUBLE AS score FROM d
+ WHERE label = 'person' AND h >= 0.12::DOUBLE AND w <= 1.3::DOUBLE * h AND NOT EXISTS (SELECT 1 FROM d f WHERE f.label = 'face' AND f.media_id = d.media_id AND f.frame = d.frame AND {inter('d', 'f')} >= 0.5::DOUBLE * (f.w * f.h))""")
 def head_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons without a face get a box where the head should be."""
-    d = dets(spark, sf_dir)
-    persons = d.where("label = 'person' and h >= 0.125 and w <= 1.5 * h").select("det_no", "media_id", "frame", "score", *Box.of().columns())
-    faces = d.where("label = 'face'").select("media_id", "frame", *Box.of().columns("f_"))
-    with_face = persons.join(faces, ["media_id", "frame"]).where(g.contains(Box.of(), Box.of("f_"), 0.5)).select("det_no").distinct()
-    return persons.join(with_face, "det_no", "left_anti").select("det_no", "media_id", "frame", (F.col("x") + F.col("w") * 0.25).alias("x"), "y", (F.col("w") * 0.5).alias("w"), (F.col("h") * 0.25).alias("h"), (F.col("score") * 0.875).alias("score"))
+    return gates.head_fallback(dets(spark, sf_dir))
 
 
-@query(f"WITH d AS ({DETS}) SELECT media_id, frame, det_no, area FROM (SELECT *, w * h AS area, row_number() OVER (PARTITION BY media_id, frame ORDER BY w * h DESC, det_no) AS rn FROM d WHERE label = 'car') t WHERE rn <= 2 AND area < 0.5::DOUBLE AND w * 1280 >= 120")
+@query(f"WITH d AS ({DETS}) SELECT media_id, frame, det_no, area FROM (SELECT *, w * h AS area, row_number() OVER (PARTITION BY media_id, frame ORDER BY w * h DESC, det_no) AS rn FROM d WHERE label = 'car') t WHERE rn <= 4 AND area < 0.6::DOUBLE AND w * 1280 >= 48 AND h * 720 >= 48")
 def top_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two largest vehicles of each frame, taken before the size limits are applied."""
-    rank = F.row_number().over(W.partitionBy("media_id", "frame").orderBy(F.desc("area"), "det_no"))
-    top = dets(spark, sf_dir).where("label = 'car'").withColumn("area", F.col("w") * F.col("h")).withColumn("rn", rank).where("rn <= 2")
-    return top.where("area < 0.5 and w * 1280 >= 120").select("media_id", "frame", "det_no", "area")
+    """The four largest vehicles of each frame, taken before the size limits are applied."""
+    return gates.vehicle_crops(dets(spark, sf_dir))
+
+
+@query(f"""WITH d AS ({DETS}) SELECT * EXCLUDE (source) FROM d WHERE label = 'face' AND NOT EXISTS (SELECT 1 FROM d s WHERE s.label = 'phone' AND s.media_id = d.media_id AND s.frame = d.frame AND {iou_sql('d', 's')} > 0.3::DOUBLE)""")
+def off_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes that no screen of their frame overlaps (faces against phones here)."""
+    d = dets(spark, sf_dir).drop("source")
+    return gates.off_screens(d.where("label = 'face'"), d.where("label = 'phone'"))
+
+
+@query(f"""WITH d AS ({DETS}), base AS (SELECT * EXCLUDE (source) FROM d WHERE score >= 0.5::DOUBLE), extra AS (SELECT * EXCLUDE (source) FROM d WHERE score < 0.5::DOUBLE AND w * h > 0 AND greatest(least(x + w, 0.25::DOUBLE) - greatest(x, 0), 0) * greatest(least(y + h, 1) - greatest(y, 0), 0) >= 0.25::DOUBLE * (w * h))
+ SELECT * FROM base UNION ALL SELECT * FROM extra e WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.media_id = e.media_id AND b.frame = e.frame AND b.label = e.label AND {iou_sql('e', 'b')} >= 0.3::DOUBLE)""")
+def edge_assisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second pass over the left quarter adds what the first did not see."""
+    d = dets(spark, sf_dir).drop("source")
+    strip = Box(*(F.lit(v) for v in (0.0, 0.0, 0.25, 1.0)))
+    return gates.edge_assist(d.where("score >= 0.5"), d.where("score < 0.5"), strip)
 
 
 # Coverage: detections with a score of half or more are the truth, the rest (grown by an eighth) the redactions.

@@ -22,9 +22,9 @@ def track_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH k AS ({KEYS}), t AS (SELECT media_id, track_id, label, count(*) AS hits, round(avg(score), 6) AS mean_score, quantile_cont(h, 0.5) AS median_h FROM k GROUP BY media_id, track_id, label)
- SELECT *, CASE WHEN label IN ('face', 'head') THEN median_h <= 0.6::DOUBLE AND hits >= 3 AND mean_score >= 0.5::DOUBLE ELSE hits >= 2 AND mean_score >= 0.4::DOUBLE END AS confirmed FROM t""")
+ SELECT *, CASE WHEN label IN ('face', 'head') THEN median_h <= 0.6::DOUBLE AND hits >= 3 AND mean_score >= 0.7::DOUBLE ELSE hits >= 2 AND mean_score >= 0.4::DOUBLE END AS confirmed FROM t""")
 def confirmed_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tracks.confirm(keys(spark, sf_dir), least_face_score=0.5)
+    return tracks.confirm(keys(spark, sf_dir))
 
 
 @query(f"""WITH s AS ({SPANS}), p AS (SELECT media_id, track_id, greatest(start_frame - 20, 0) AS start_frame, end_frame + 20 AS end_frame FROM s),
@@ -57,28 +57,32 @@ def active_tracks_every_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_join(f, spans(spark, sf_dir), ["media_id"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("media_id", "frame", "track_id", "span_no")
 
 
-@query()
+def boxes_sql(frames: str) -> str:
+    return f"""WITH k AS ({KEYS}), s AS ({SPANS}), q AS (SELECT DISTINCT s.media_id, s.track_id, f.frame FROM s JOIN {frames} f ON f.media_id = s.media_id AND f.frame BETWEEN s.start_frame AND s.end_frame),
+ p AS (SELECT q.*, k.frame AS f0, k.x AS ax, k.y AS ay, k.w AS aw, k.h AS ah FROM q ASOF JOIN k ON q.track_id = k.track_id AND q.frame >= k.frame),
+ m AS (SELECT p.*, CASE WHEN k.frame > f0 THEN (p.frame - f0) / (k.frame - f0) ELSE 0.0::DOUBLE END AS t, k.x AS bx, k.y AS by_, k.w AS bw, k.h AS bh FROM p ASOF JOIN k ON p.track_id = k.track_id AND p.frame <= k.frame)
+ SELECT media_id, track_id, frame, ax + (bx - ax) * t AS x, ay + (by_ - ay) * t AS y, aw + (bw - aw) * t AS w, ah + (bh - ah) * t AS h FROM m"""
+
+
+def boxes_at(k: DataFrame, s: DataFrame, frames: DataFrame) -> DataFrame:
+    """Boxes of a medium's active tracks on its frames (media_id, frame), between their keyframes; unrounded."""
+    f = frames.select("media_id", "frame", F.col("frame").alias("frame2")).distinct()
+    asked = overlap_join(f, s.select("media_id", "track_id", "start_frame", "end_frame"), ["media_id"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("media_id", "track_id", "frame").distinct()
+    return interpolate(asked, k, ["media_id", "track_id"])
+
+
+@query(boxes_sql(EVERY))
 def interpolated_boxes_every_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of the active tracks on every frame of the tables, between their keyframes.  No SQL: DuckDB rounds ties of the seventh digit unlike Spark."""
+    """Boxes of the active tracks on every frame of the tables."""
     k = keys(spark, sf_dir)
-    f = k.select("frame", F.col("frame").alias("frame2"), F.lit(0).alias("axis")).distinct()
-    s = spans(spark, sf_dir).select("track_id", "start_frame", "end_frame", F.lit(0).alias("axis"))
-    asked = overlap_join(f, s, ["axis"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("track_id", "frame").distinct()
-    return interpolate(asked, k, ["track_id"]).select("track_id", "frame", *[F.round(c, 6).alias(c) for c in "xywh"])
+    return boxes_at(k, spans(spark, sf_dir), k)
 
 
-@query(f"""WITH k AS ({KEYS}), s AS ({SPANS}), q AS (SELECT DISTINCT s.track_id, f.frame FROM s JOIN (SELECT DISTINCT frame FROM k WHERE frame % 25 = 0) f ON f.frame BETWEEN s.start_frame AND s.end_frame),
- b AS (SELECT q.track_id, q.frame, max(k.frame) FILTER (k.frame <= q.frame) AS f0, min(k.frame) FILTER (k.frame >= q.frame) AS f1 FROM q JOIN k ON k.track_id = q.track_id GROUP BY q.track_id, q.frame),
- m AS (SELECT b.track_id, b.frame, CASE WHEN f1 > f0 THEN (b.frame - f0) / (f1 - f0) ELSE 0.0::DOUBLE END AS t, p.x AS ax, p.y AS ay, p.w AS aw, p.h AS ah, n.x AS bx, n.y AS by_, n.w AS bw, n.h AS bh
-  FROM b JOIN k p ON p.track_id = b.track_id AND p.frame = b.f0 JOIN k n ON n.track_id = b.track_id AND n.frame = b.f1)
- SELECT track_id, frame, round(ax + (bx - ax) * t, 6) AS x, round(ay + (by_ - ay) * t, 6) AS y, round(aw + (bw - aw) * t, 6) AS w, round(ah + (bh - ah) * t, 6) AS h FROM m""")
+@query(boxes_sql(SAMPLED))
 def interpolated_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boxes of the active tracks on sampled frames, between their keyframes."""
+    """Boxes of the active tracks on sampled frames."""
     k = keys(spark, sf_dir)
-    f = k.where("frame % 25 = 0").select("frame", F.col("frame").alias("frame2"), F.lit(0).alias("axis")).distinct()
-    s = spans(spark, sf_dir).select("track_id", "start_frame", "end_frame", F.lit(0).alias("axis"))
-    asked = overlap_join(f, s, ["axis"], 128, ("frame", "frame2"), ("start_frame", "end_frame")).select("track_id", "frame").distinct()
-    return interpolate(asked, k, ["track_id"]).select("track_id", "frame", *[F.round(c, 6).alias(c) for c in "xywh"])
+    return boxes_at(k, spans(spark, sf_dir), k.where("frame % 25 = 0"))
 
 
 @query(f"""WITH s AS ({SPANS}) SELECT a.track_id AS a, b.track_id AS b, CAST(sum(least(a.end_frame, b.end_frame) - greatest(a.start_frame, b.start_frame) + 1) AS BIGINT) AS frames FROM s a JOIN s b
@@ -119,11 +123,10 @@ def split_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.split_at(k.join(cut, "track_id"), F.col("cut")).groupBy("track_id", "part").agg(F.count("*").alias("n_keys"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame"))
 
 
-@query(f"""WITH k AS ({KEYS}) SELECT track_id, frame, CASE WHEN frame >= 500 THEN greatest(least(x + w / 2 + 0.125::DOUBLE - w * 1.5::DOUBLE / 2, 1), 0) ELSE x END AS x, CASE WHEN frame >= 500 THEN w * 1.5::DOUBLE ELSE w END AS w FROM k WHERE x + w < 0.625::DOUBLE""")
+@query(f"""WITH k AS ({KEYS}) SELECT track_id, frame, CASE WHEN frame >= 500 THEN greatest(least(x + w / 2 + 0.125::DOUBLE - w * 1.5::DOUBLE / 2, 1), 0) ELSE x END AS x, CASE WHEN frame >= 500 THEN least(w * 1.5::DOUBLE, 1 - greatest(least(x + w / 2 + 0.125::DOUBLE - w * 1.5::DOUBLE / 2, 1), 0)) ELSE w END AS w FROM k""")
 def edited_onward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes from frame 500 on moved to the right by an eighth and widened by half about their centres."""
-    k = keys(spark, sf_dir).where("x + w < 0.625")
-    return tracks.apply_edit(k, 500, "onward", dx=0.125, dy=0.0, sw=1.5, sh=1.0).select("track_id", "frame", "x", "w")
+    return tracks.apply_edit(keys(spark, sf_dir), 500, "onward", dx=0.125, dy=0.0, sw=1.5, sh=1.0).select("track_id", "frame", "x", "w")
 
 
 NOTE = "CASE n_keys % 4 WHEN 0 THEN 'single detection' WHEN 1 THEN 'avg conf 0.55' WHEN 2 THEN 'linked 2 fragments, avg conf 0.71' ELSE 'head-fallback' END"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators.intervals import merge_ranges, overlap_join
-from tessera.sources.adapters import WORDS, words
+from tessera.sources.adapters import DOC_WORDS, WORDS, doc_words, words
 
 from .registry import query
 
@@ -26,26 +26,25 @@ RANGE_SQL = f"""WITH {PHRASE_SQL}, padded AS (SELECT media_id, style, greatest(s
  runs AS (SELECT *, sum(new) OVER (PARTITION BY media_id, style ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS run FROM marked)"""
 
 
-def found_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
-    parts = [text.phrase_hits(w, p).select("media_id", "idx", "start_s", F.col("hit_end_s").alias("end_s"), F.lit(p).alias("phrase"), F.lit(s).alias("style")) for p, s in PHRASES.items()]
-    return reduce(DataFrame.unionByName, parts)
+def found_phrases(w: DataFrame) -> DataFrame:
+    style = F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv])
+    return text.phrase_hits(w, list(PHRASES)).select("media_id", "idx", "start_s", F.col("hit_end_s").alias("end_s"), "phrase", style[F.col("phrase")].alias("style"))
 
 
-def muted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = found_phrases(spark, sf_dir).select("media_id", "style", F.greatest(F.col("start_s") - PAD, F.lit(0.0)).alias("start_s"), (F.col("end_s") + PAD).alias("end_s"))
+def muted(w: DataFrame) -> DataFrame:
+    hits = found_phrases(w).select("media_id", "style", F.greatest(F.col("start_s") - PAD, F.lit(0.0)).alias("start_s"), (F.col("end_s") + PAD).alias("end_s"))
     return merge_ranges(hits, ["media_id", "style"])
 
 
 @query(f"{RANGE_SQL} SELECT media_id, style, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n FROM runs GROUP BY media_id, style, run")
 def mute_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which words must be muted, merged by style."""
-    return muted(spark, sf_dir)
+    return muted(words(spark, sf_dir))
 
 
 @query(f"WITH {PHRASE_SQL} SELECT media_id, idx, start_s, end_s, phrase FROM found")
 def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found_phrases(spark, sf_dir).drop("style")
+    return found_phrases(words(spark, sf_dir)).drop("style")
 
 
 @query(f"""{RANGE_SQL}, ranges AS (SELECT media_id, style, min(start_s) AS start_s, max(end_s) AS end_s FROM runs GROUP BY media_id, style, run)
@@ -53,7 +52,7 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that overlap any muted range (open intervals)."""
     w = words(spark, sf_dir).select("media_id", "idx", "word", "start_s", "end_s")
-    r = muted(spark, sf_dir).select("media_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"))
+    r = muted(words(spark, sf_dir)).select("media_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"))
     return overlap_join(w, r, ["media_id"], 8.0, ("start_s", "end_s"), ("from_s", "to_s"), closed=False).select("media_id", "idx", "word").distinct()
 
 
@@ -63,17 +62,17 @@ def words_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def unsure_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words below half confidence whose midpoint no redaction covers."""
     w = words(spark, sf_dir).where("confidence < 0.5").withColumn("mid", (F.col("start_s") + F.col("end_s")) / 2)
-    r = muted(spark, sf_dir).select("media_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"))
+    r = muted(words(spark, sf_dir)).select("media_id", F.col("start_s").alias("from_s"), F.col("end_s").alias("to_s"))
     # The later start of a point and a range that holds it is the point, whose bin is unique.
     hit = overlap_join(w.select("media_id", "idx", "mid", F.col("mid").alias("mid2")), r, ["media_id"], 8.0, ("mid", "mid2"), ("from_s", "to_s")).where("mid < to_s").select("media_id", "idx")
     return w.join(hit, ["media_id", "idx"], "left_anti").select("media_id", "idx", "word", "confidence")
 
 
-@query(f"""WITH words AS ({WORDS}) SELECT media_id, idx AS i0, idx AS i1, start_s, end_s, 0.9::DOUBLE AS score FROM words WHERE contains(word, '@') AND contains(word, '.')
+@query(f"""WITH words AS ({DOC_WORDS}) SELECT media_id, idx AS i0, idx AS i1, start_s, end_s, 0.9::DOUBLE AS score FROM words WHERE contains(word, '@') AND contains(word, '.')
  UNION ALL SELECT media_id, idx, idx + 4, start_s, end5, 0.8::DOUBLE FROM (SELECT *, lead(norm, 1) OVER w AS n1, lead(norm, 3) OVER w AS n3, lead(norm, 4) OVER w AS n4, lead(end_s, 4) OVER w AS end5 FROM words WINDOW w AS (PARTITION BY media_id ORDER BY idx)) x
  WHERE n1 = 'at' AND n3 = 'dot' AND n4 IN {text.EMAIL_ENDS}""")
 def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = words(spark, sf_dir)
+    w = doc_words(spark, sf_dir)
     over = W.partitionBy("media_id").orderBy("idx")
     typed = w.where(F.col("word").contains("@") & F.col("word").contains(".")).select("media_id", F.col("idx").alias("i0"), F.col("idx").alias("i1"), "start_s", "end_s", F.lit(0.9).alias("score"))
     near = w.select("media_id", "idx", "start_s", *[F.lead("norm", k).over(over).alias(f"n{k}") for k in (1, 3, 4)], F.lead("end_s", 4).over(over).alias("end_s"))
@@ -82,7 +81,7 @@ def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPOKEN = " ".join(f"WHEN {k!r} THEN {v!r}" for k, v in text.NUMBER_WORDS.items())
-DIGIT_SQL = f"""WITH words AS ({WORDS}), d AS (SELECT *, CASE WHEN regexp_matches(norm, '^[0-9]+$') THEN norm ELSE CASE norm {SPOKEN} END END AS digit FROM words),
+DIGIT_SQL = f"""WITH words AS ({DOC_WORDS}), d AS (SELECT *, CASE WHEN regexp_matches(norm, '^[0-9]+$') THEN norm ELSE CASE norm {SPOKEN} END END AS digit FROM words),
  g AS (SELECT *, idx - row_number() OVER (PARTITION BY media_id ORDER BY idx) AS run FROM d WHERE digit IS NOT NULL),
  r AS (SELECT media_id, min(idx) AS i0, max(idx) AS i1, string_agg(digit, '' ORDER BY idx) AS digits, string_agg(word, ' ' ORDER BY idx) AS text FROM g GROUP BY media_id, run)"""
 
@@ -91,14 +90,14 @@ DIGIT_SQL = f"""WITH words AS ({WORDS}), d AS (SELECT *, CASE WHEN regexp_matche
  SELECT media_id, i0, i1, digits, text, CASE WHEN n BETWEEN 10 AND 11 THEN 'phone' WHEN n = 9 OR dashed THEN 'ssn' WHEN n BETWEEN 7 AND 8 THEN 'phone' WHEN n >= 5 THEN 'digits' END AS kind FROM k""")
 def pii_digits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of digits with what its length makes it; null for a short one."""
-    return text.digit_runs(words(spark, sf_dir)).select("media_id", "i0", "i1", "digits", "text", text.digit_kind(F.col("digits"), F.col("text")).alias("kind"))
+    return text.digit_runs(doc_words(spark, sf_dir)).select("media_id", "i0", "i1", "digits", "text", text.digit_kind(F.col("digits"), F.col("text")).alias("kind"))
 
 
 @query(f"""{DIGIT_SQL}, n AS (SELECT media_id, idx, lead(norm, 1) OVER w AS n1, lead(norm, 2) OVER w AS n2, lead(norm, 3) OVER w AS n3, lead(norm, 4) OVER w AS n4, lead(norm, 5) OVER w AS n5 FROM words WINDOW w AS (PARTITION BY media_id ORDER BY idx))
  SELECT r.media_id, i0, i0 + 0 AS run_end, digits FROM r JOIN n ON r.media_id = n.media_id AND r.i1 = n.idx WHERE length(digits) <= 4 AND (n2 IN {text.ADDRESS_SUFFIXES} OR n3 IN {text.ADDRESS_SUFFIXES} OR n4 IN {text.ADDRESS_SUFFIXES} OR n5 IN {text.ADDRESS_SUFFIXES})""")
 def pii_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short runs of digits with a street suffix two to five words on."""
-    w = words(spark, sf_dir)
+    w = doc_words(spark, sf_dir)
     over = W.partitionBy("media_id").orderBy("idx")
     later = w.select("media_id", F.col("idx").alias("i1"), *[F.lead("norm", k).over(over).alias(f"n{k}") for k in range(2, 6)])
     suffix = reduce(lambda a, k: a | F.coalesce(F.col(f"n{k}").isin(*text.ADDRESS_SUFFIXES), F.lit(False)), range(2, 6), F.lit(False))
@@ -108,7 +107,7 @@ def pii_address(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def pii_all_claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules; a word belongs to the first rule that claims it."""
-    return text.pii_suggestions(words(spark, sf_dir))
+    return text.pii_suggestions(doc_words(spark, sf_dir))
 
 
 @query(f"WITH words AS ({WORDS}) SELECT media_id, norm, count(*) AS n, min(start_s) AS first_s, max(end_s) AS last_s FROM words WHERE norm <> '' GROUP BY media_id, norm HAVING count(*) > 1")

@@ -33,6 +33,9 @@ WORDS = r"""SELECT media_id, idx, word, norm, idx * 0.5::DOUBLE AS start_s, idx
   trim(regexp_replace(lower(strip_accents(word)), '[^\pL\pN\pM_'']+', '', 'g'), '''') AS norm FROM
   (SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\s+')) AS word, generate_subscripts(regexp_split_to_array(text, '\s+'), 1) AS pos FROM conversations))"""
 
+#: The same over documents: a document is a medium with one turn.
+DOC_WORDS = WORDS.replace("FROM conversations", "FROM (SELECT doc_id AS conv_id, 0 AS turn, text FROM documents)")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -51,10 +54,19 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(media_id, idx, word, norm, start_s, end_s, confidence)."""
+    """(media_id, idx, word, norm, start_s, end_s, confidence) of conversations."""
+    return _words(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), "turn", "text"))
+
+
+def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of documents, which hold what conversations lack: numbers, addresses, e-mail."""
+    return _words(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("media_id"), F.lit(0).alias("turn"), "text"))
+
+
+def _words(turns: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
-    split = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), "turn", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
+    split = turns.select("media_id", "turn", F.posexplode(F.split("text", r"\s+")).alias("pos", "word"))
     idx = (F.row_number().over(W.partitionBy("media_id").orderBy("turn", "pos")) - 1).cast("long")
     numbered = split.select("media_id", idx.alias("idx"), "word")
     return numbered.select("media_id", "idx", "word", norm_token(F.col("word")).alias("norm"), (F.col("idx") * 0.5).alias("start_s"), (F.col("idx") * 0.5 + 0.4).alias("end_s"), ((F.col("idx") * 31) % 100 / 100).alias("confidence"))

@@ -26,6 +26,7 @@ def test_query(spark, duck, name):
     cols = sorted(df.columns)
     rows = sorted(repr(tuple(r[c] for c in cols)) for r in df.collect())
     if name not in catalogue.ORACLE_SQL:
+        assert rows and all(c for c in cols)  # the operators have tests of their own
         return
     got = duck.execute(catalogue.ORACLE_SQL[name])
     names = [c[0] for c in got.description]

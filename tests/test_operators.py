@@ -38,9 +38,9 @@ def words(spark, *sentences):
 def test_tokens_and_phrases(spark):
     w = words(spark, "Michael Carter said hi.", "Yes, michael CARTER! Niño's")
     assert [r.norm for r in w.orderBy("idx").collect()][-1] == "nino's"
-    hits = text.phrase_hits(w, "michael carter").orderBy("idx").collect()
+    hits = text.phrase_hits(w, ["michael CARTER!"]).orderBy("idx").collect()
     assert [(h.idx, h.start_s, h.hit_end_s) for h in hits] == [(0, 0.0, 0.9), (5, 2.5, 3.4)]
-    assert text.phrase_hits(w, "  ").count() == 0
+    assert text.phrase_hits(w, ["  "]).count() == 0
 
 
 def test_pii_rules(spark):
