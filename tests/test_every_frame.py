@@ -21,8 +21,7 @@ def test_every_frame_has_its_tracks_and_boxes(spark):
     assert len(got) == len(want) and {(r.media_id, r.frame, r.track_id, r.span_no) for r in got} == want
     assert any(f % 25 for _, f, _, _ in want)
     boxes = catalogue.QUERIES["interpolated_boxes_every_frame"](spark, DATA).collect()
-    whole = set().union(*frames.values())
-    asked = {(s.track_id, f) for s in spans(spark, DATA).collect() for f in whole if s.start_frame <= f <= s.end_frame}
+    asked = {(s.track_id, f) for s in spans(spark, DATA).collect() for f in frames[s.media_id] if s.start_frame <= f <= s.end_frame}
     assert sorted((r.track_id, r.frame) for r in boxes) == sorted(asked)
     for r in boxes:
         k = known[r.track_id]
