@@ -195,22 +195,9 @@ def associated_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grouped(dets(spark, sf_dir), ["media_id", "label"], "media_id long, label string, frame long, det_no long, track_no int", each)
 
 
-# Same-person search over unit vectors: labels stand for tracks.
 COS = "list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))"
 
 
-@query(f"""SELECT q.label AS label, o.label AS other, round(max({COS.replace('a.', 'q.').replace('b.', 'o.')}), 5) AS similarity FROM embeddings q JOIN embeddings o ON q.label <> o.label WHERE q.vec_id % 50 = 0 GROUP BY q.label, o.label""")
-def same_person(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best similarity of a stated query set (every fiftieth vector) to the vectors of every other label, in blocks."""
-    e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("label").alias("q_label"), F.col("embedding").alias("q"))
-    # The query set is dealt over sixteen blocks; every vector meets each block.
-    blocks = q.withColumn("block", F.pmod(F.hash("q"), F.lit(16)))
-    all_ = e.select("label", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("block"))
-    met = all_.join(blocks, "block").where("label <> q_label")
-    return met.groupBy(F.col("q_label").alias("label"), F.col("label").alias("other")).agg(F.round(F.max(g.cosine(F.col("q"), F.col("embedding"))), 5).alias("similarity"))
-
-
 @query(f"""SELECT a.label, count(*) AS pairs, round(avg({COS}), 5) AS mean_similarity FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) a JOIN (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) b ON a.label = b.label AND b.n = a.n + 1 GROUP BY a.label""")
 def identity_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean similarity of consecutive samples of each label."""

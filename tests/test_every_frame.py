@@ -17,10 +17,10 @@ def test_every_frame_has_its_tracks_and_boxes(spark):
         known[r.track_id][r.frame] = (r.x, r.y, r.w, r.h)
     for s in spans(spark, DATA).collect():
         want |= {(s.media_id, f, s.track_id, s.span_no) for f in frames[s.media_id] if s.start_frame <= f <= s.end_frame}
-    got = catalogue.QUERIES["active_tracks_every_frame"](spark, DATA).collect()
+    got = catalogue.QUERIES["active_tracks"](spark, DATA).collect()
     assert len(got) == len(want) and {(r.media_id, r.frame, r.track_id, r.span_no) for r in got} == want
     assert any(f % 25 for _, f, _, _ in want)
-    boxes = catalogue.QUERIES["interpolated_boxes_every_frame"](spark, DATA).collect()
+    boxes = catalogue.QUERIES["interpolated_boxes"](spark, DATA).collect()
     asked = {(s.track_id, f) for s in spans(spark, DATA).collect() for f in frames[s.media_id] if s.start_frame <= f <= s.end_frame}
     assert sorted((r.track_id, r.frame) for r in boxes) == sorted(asked)
     for r in boxes:
