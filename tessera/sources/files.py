@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.geometry import Box, clamp
@@ -21,7 +21,7 @@ SPAN = f"start_frame: bigint, end_frame: bigint, keyframes: map<string, {BOXES}>
 TRACK = f"id: string, label: string, style: string, shape: string, pad: double, source: string, enabled: boolean, created_at: string, created_by: string, note: string, spans: array<struct<{SPAN}>>"
 PROJECT = f"""format string, version int, media struct<path: string, duration: double, has_video: boolean, has_audio: boolean, width: int, height: int, fps: double, frame_count: bigint, sample_rate: int, channels: int, sha256: string>,
  audio_redactions array<struct<id: string, start: double, end: double, text: string, reason: string, style: string, source: string, enabled: boolean>>,
- video_tracks array<struct<{TRACK}>>, default_audio_style string, default_video_style string, author string, case_number string, notes string"""
+ video_tracks array<struct<{TRACK}>>, transcript array<struct<start: double, end: double, text: string, words: array<struct<start: double, end: double, text: string, confidence: double>>>>, transcript_model string, default_audio_style string, default_video_style string, author string, case_number string, notes string"""
 
 
 def whole(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -38,7 +38,12 @@ def media_kind(path: Column) -> Column:
 
 def projects(spark: SparkSession, path: str, project_format: str, glob: str = "*") -> DataFrame:
     """Project documents, parsed; a file that is none of ``project_format`` has ``error`` instead of fields."""
-    p = whole(spark, path, glob).withColumn("p", F.from_json("text", PROJECT))
+    return parsed_projects(whole(spark, path, glob), project_format)
+
+
+def parsed_projects(texts: DataFrame, project_format: str) -> DataFrame:
+    """The same of documents (path, text) at hand."""
+    p = texts.withColumn("p", F.from_json("text", PROJECT))
     good = F.coalesce(F.col("p.format") == project_format, F.lit(False))
     return p.select("path", F.when(good, F.col("p")).alias("p"), F.when(~good, F.lit("not a project file")).alias("error")).select("path", "error", "p.*")
 
@@ -52,6 +57,19 @@ def project_spans(parsed: DataFrame) -> DataFrame:
     return s.select("media_id", F.col("t.id").alias("track_id"), F.col("span_no").cast("bigint").alias("span_no"), F.col("s.start_frame"), F.col("s.end_frame"), F.array_sort(F.coalesce(nested, F.array())).alias("keys"), F.nullif(F.col("t.style"), F.lit("")).alias("style"), *[F.coalesce(F.col(f"t.{c}"), F.lit(v)).alias(c) for c, v in fill.items()])
 
 
+def project_words(parsed: DataFrame) -> DataFrame:
+    """(media_id, segment, idx, start_s, end_s, word, confidence) of a project's transcript, numbered over its segments.
+
+    A segment without words gives one that spans it; a word without a confidence is sure.
+    """
+    s = parsed.select(F.col("path").alias("media_id"), F.posexplode("transcript").alias("segment", "s"))
+    own = F.transform("s.words", lambda w: F.struct(w["start"].alias("start_s"), w["end"].alias("end_s"), w["text"].alias("word"), F.coalesce(w["confidence"], F.lit(1.0)).alias("confidence")))
+    one = F.array(F.struct(F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), F.trim("s.text").alias("word"), F.lit(1.0).alias("confidence")))
+    words = s.select("media_id", "segment", F.posexplode(F.when(F.coalesce(F.size("s.words"), F.lit(0)) > 0, own).otherwise(one)).alias("pos", "w"))
+    idx = (F.row_number().over(W.partitionBy("media_id").orderBy("segment", "pos")) - 1).cast("long")
+    return words.select("media_id", "segment", idx.alias("idx"), "w.*")
+
+
 def saved_tracks(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Files that hold a JSON list of tracks, as ``project_spans`` gives them."""
     return project_spans(whole(spark, path, glob).select("path", F.from_json("text", f"array<struct<{TRACK}>>").alias("video_tracks")))
