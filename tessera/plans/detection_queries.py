@@ -168,19 +168,7 @@ def _grouped(df: DataFrame, by: list[str], schema: str, each) -> DataFrame:
 @query()
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each frame's detections matched one to one with those of the frame before, by label."""
-
-    def each(pdf):
-        pdf = pdf.sort_values(["frame", "det_no"])
-        frames = {f: x for f, x in pdf.groupby("frame")}
-        out = []
-        for f, now in frames.items():
-            if (f - 1) in frames:
-                old = frames[f - 1]
-                over = greedy.iou_matrix(old[["x", "y", "w", "h"]].to_numpy(float), now[["x", "y", "w", "h"]].to_numpy(float))
-                out += [(int(now["media_id"].iloc[0]), int(f), int(old["det_no"].iloc[i]), int(now["det_no"].iloc[j]), v) for i, j, v in greedy.match(over, 0.3, now["score"].to_numpy(float))]
-        return out
-
-    return _grouped(dets(spark, sf_dir), ["media_id", "label"], "media_id long, frame long, before long, det_no long, iou double", each)
+    return greedy.match_neighbours(dets(spark, sf_dir), ["media_id", "label"]).select("media_id", "frame", "before", "det_no", "iou")
 
 
 @query()

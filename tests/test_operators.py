@@ -77,3 +77,36 @@ def test_extend_and_split(spark):
     k = spark.range(100, 201).select(F.col("id").alias("frame"))
     parts = tracks.split_at(k, F.lit(150)).groupBy("part").agg(F.min("frame"), F.max("frame")).orderBy("part").collect()
     assert [tuple(p) for p in parts] == [(0, 100, 149), (1, 150, 200)]
+
+
+def test_neighbouring_frames_match_over_the_edge_of_a_block(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, int(k % 2), "face", int(rng.integers(60, 70)), float(rng.random()), *(float(v) for v in rng.random(2) * 0.3), 0.3, 0.3) for k in range(60)]
+    d = spark.createDataFrame(rows, "det_no long, media_id long, label string, frame long, score double, x double, y double, w double, h double")
+    want = set()
+    for m in range(2):
+        for f in range(60, 70):
+            old, now = ([r for r in rows if r[1] == m and r[3] == g] for g in (f - 1, f))
+            if old and now:
+                over = greedy.iou_matrix(np.array([r[5:] for r in old]), np.array([r[5:] for r in now]))
+                want |= {(m, f, old[i][0], now[j][0]) for i, j, _ in greedy.match(over, 0.3, np.array([r[4] for r in now]))}
+    got = greedy.match_neighbours(d, ["media_id", "label"]).collect()
+    assert len(got) == len(want) and {(r.media_id, r.frame, r.before, r.det_no) for r in got} == want
+    assert any(f == 64 for _, f, _, _ in want)
+
+
+def test_chains_are_those_of_a_search_over_all_tails():
+    rng = np.random.default_rng(4)
+    spans = []
+    for s in sorted(int(v) for v in rng.integers(0, 300, 60)):
+        box = (*(float(v) for v in rng.random(2) * 0.4), 0.2, 0.2)
+        spans.append((s, s + int(rng.integers(1, 30)), box, box))
+    spans.sort(key=lambda v: v[:2])
+    tails, want = [], []
+    for start, end, first, last in spans:
+        fits = [(stop, -n) for n, (stop, box) in enumerate(tails) if 0 < start - stop <= 20 and (greedy.iou_of(box, first) >= 0.2 or greedy.near_by_gap(box, first, start - stop, 20))]
+        n = -max(fits)[1] if fits else len(tails)
+        tails[n:n + 1] = [(end, last)]
+        want.append(n)
+    assert greedy.link(spans, 20, greedy.near_by_gap) == want
+    assert len(set(want)) < len(want)
