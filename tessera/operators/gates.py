@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geometry as g
 from tessera.functions.geometry import Box
+from tessera.operators.intervals import overlap_join
 
 FRAME = ["media_id", "frame"]
 
@@ -36,9 +37,15 @@ def vehicle_crops(dets: DataFrame, most: int = 4, largest: float = 0.6, side: in
 
 
 def ungated_continuations(gated: DataFrame, tracks: DataFrame, overlap: float = 0.3, hits: int = 2) -> DataFrame:
-    """``gated`` plates (with a box) that are on a vehicle, or go on a track (media_id, hits, t_ box) that is live and confirmed."""
-    live = tracks.where(F.col("hits") >= hits).select("media_id", *[F.col(f"t_{k}") for k in "xywh"])
-    goes_on = gated.where("gated = 'plate_ungated'").join(live, "media_id").where(g.iou(Box.of(), Box.of("t_")) >= overlap).select("det_no").distinct()
+    """``gated`` plates (with a box) that are on a vehicle, or go on a track (media_id, hits, t_ box) that is live and confirmed.
+
+    ``tracks`` are those live on every frame, or carry the range ``from_frame`` to ``to_frame`` in which they are.
+    """
+    ranged = "from_frame" in tracks.columns
+    live = tracks.where(F.col("hits") >= hits).select("media_id", *(["from_frame", "to_frame"] if ranged else []), *[F.col(f"t_{k}") for k in "xywh"])
+    loose = gated.where("gated = 'plate_ungated'")
+    near = overlap_join(loose.withColumn("frame_", F.col("frame")), live, ["media_id"], 64, ("frame", "frame_"), ("from_frame", "to_frame")) if ranged else loose.join(live, "media_id")
+    goes_on = near.where(g.iou(Box.of(), Box.of("t_")) >= overlap).select("det_no").distinct()
     return gated.where("gated = 'plate'").unionByName(gated.where("gated = 'plate_ungated'").join(goes_on, "det_no", "left_semi"))
 
 
@@ -71,12 +78,46 @@ def snapped(drawn: DataFrame, dets: DataFrame, reach: float = 1.0) -> DataFrame:
     return met.groupBy("id").agg(F.max_by("det_no", F.struct("value", -F.col("det_no"))).alias("det_no"), F.max("value").alias("value"))
 
 
-def plausible(last: Box, new: Box, late: Column, reach: float = 1.5, ratio: float = 2.0) -> Column:
-    """Could ``new`` be the object seen at ``last``: sizes within a factor, centres within reach; after a long gap only the size counts."""
+def plausible(last: Box, new: Box, late: Column, gap: Column | int = 0, speed: Column | float = 0.0) -> Column:
+    """Could ``new`` be the object seen at ``last`` ``gap`` frames ago: sizes within a factor and centres within what its ``speed`` a
+    frame allows, two and a half sides at least; after a long gap a wider factor and any place."""
     size_a, size_b = F.greatest(last.w, last.h), F.greatest(new.w, new.h)
     (ax, ay), (bx, by) = g.center(last), g.center(new)
-    alike = (size_b <= ratio * size_a) & (size_a <= ratio * size_b)
-    return alike & (late | (F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) <= reach * F.greatest(size_a, size_b)))
+    ratio = size_b / F.when((size_a > 0) & (size_b > 0), size_a)
+    reach = F.greatest(2.5 * size_a, F.lit(speed) * F.lit(gap) + 2.0 * size_a)
+    close = F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) <= reach
+    return F.coalesce(F.when(late, ratio.between(0.35, 3.0)).otherwise(ratio.between(0.5, 2.0) & close), F.lit(False))
+
+
+def sane(new: Box, seen: Box, area: tuple[float, float] = (0.3, 3.0), aspect: tuple[float, float] = (0.55, 1.8)) -> Column:
+    """Are area and aspect of a box in pixels within these ratios of the box last confirmed."""
+    one = lambda v: F.greatest(v, F.lit(1.0))
+    return (new.area / one(seen.area)).between(*area) & ((new.w / one(new.h)) / (seen.w / one(seen.h))).between(*aspect)
+
+
+def search_region(b: Box, width: int, height: int, factor: float = 4.0, least: int = 256) -> Column:
+    """Struct (x0, y0, x1, y1) of the square of ``factor`` sides around a box in pixels, moved into the picture."""
+    side = F.least(F.floor(F.greatest(F.lit(float(least)), factor * F.greatest(b.w, b.h))), F.lit(max(width, height)).cast("long"))
+    cx, cy = g.center(b)
+    start = lambda c, size: F.floor(F.greatest(F.lit(0.0), F.least((F.lit(size) - side).cast("double"), c - side / 2)))
+    x0, y0 = start(cx, width), start(cy, height)
+    return F.struct(x0.alias("x0"), y0.alias("y0"), F.least(F.lit(width).cast("long"), x0 + side).alias("x1"), F.least(F.lit(height).cast("long"), y0 + side).alias("y1"))
+
+
+def frozen(frames: DataFrame, by: str, at: str, value: str, first: int = 12, still: float = 0.05) -> DataFrame:
+    """(``by``, frames, frozen): did none of the first frames differ from the one before it by ``still`` or more."""
+    w = W.partitionBy(by).orderBy(at)
+    d = frames.select(by, F.row_number().over(w).alias("n"), F.abs(F.col(value) - F.lag(value).over(w)).alias("d")).where(F.col("n") <= first)
+    return d.groupBy(by).agg(F.count("*").alias("frames"), ((F.count("*") > 1) & (F.coalesce(F.max("d"), F.lit(0.0)) < still)).alias("frozen"))
+
+
+def scenes(frames: DataFrame, histogram: str, cut: float = 0.55, still: float = 0.02) -> DataFrame:
+    """(media_id, frame, distance, kind) of frames against the one before: a ``cut``, a ``still`` or a plain one."""
+    from tessera.functions.scalars import bhattacharyya
+
+    before = F.lag(histogram).over(W.partitionBy("media_id").orderBy("frame"))
+    d = frames.select(*FRAME, F.when(before.isNotNull(), bhattacharyya(F.col(histogram), before)).alias("distance")).where("distance is not null")
+    return d.withColumn("kind", F.when(F.col("distance") > cut, "cut").when(F.col("distance") < still, "still").otherwise("plain"))
 
 
 def moving_reach(gap: Column, fps: Column | float, still: float = 1.5, per_second: float = 3.0) -> Column:

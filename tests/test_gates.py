@@ -97,3 +97,25 @@ def test_every_rule_of_personal_data(spark):
     assert text.pii_suggestions(said(spark, "nothing to see here")).count() == 0
     hits = text.phrase_hits(said(spark, "Yes, michael CARTER! Carter said the the the"), ["Michäel carter", "carter!", "the the"])
     assert sorted((r.idx, r.phrase, r.hit_end_s) for r in hits.collect()) == [(1, "Michäel carter", 1.4), (2, "carter!", 1.4), (3, "carter!", 1.9), (5, "the the", 3.4), (6, "the the", 3.9)]
+
+
+def test_speed_widens_the_reach(spark):
+    box = lambda x, w: Box(*(F.lit(float(v)) for v in (x, 0.1, w, w)))
+    got = [value(spark, gates.plausible(box(0.1, 0.1), box(x, w), F.lit(late), gap, speed)) for x, w, late, gap, speed in ((0.35, 0.1, False, 0, 0.0), (0.4, 0.1, False, 10, 0.0), (0.4, 0.1, False, 10, 0.01), (0.4, 0.1, False, 10, 0.02), (0.9, 0.28, True, 500, 0.0), (0.9, 0.0, True, 500, 0.0))]
+    assert got == [True, False, True, True, True, False]
+
+
+def test_boxes_that_stay_believable(spark):
+    box = lambda w, h: Box(*(F.lit(float(v)) for v in (0, 0, w, h)))
+    got = [value(spark, gates.sane(box(*a), box(100, 50))) for a in ((100, 50), (200, 100), (60, 20), (100, 100), (50, 27))]
+    assert got == [True, False, False, False, False]
+    region = lambda x, w: tuple(value(spark, gates.search_region(Box(*(F.lit(float(v)) for v in (x, 300, w, w))), 1280, 720)))
+    assert region(600, 80) == (480, 180, 800, 500) and region(0, 10) == (0, 177, 256, 433) and region(100, 900) == (0, 0, 1280, 720)
+
+
+def test_frozen_and_cut(spark):
+    rows = [(1, f, 5.0) for f in range(20)] + [(2, f, 5.0 + f % 2) for f in range(20)] + [(3, 0, 1.0)] + [(4, f, 1.0 if f < 12 else 9.0) for f in range(20)]
+    got = {r.m: (r.frames, r.frozen) for r in gates.frozen(spark.createDataFrame(rows, "m int, f int, v double"), "m", "f", "v").collect()}
+    assert got == {1: (12, True), 2: (12, False), 3: (1, False), 4: (12, True)}
+    h = spark.createDataFrame([(1, 0, [4, 0]), (1, 1, [8, 0]), (1, 2, [0, 4]), (1, 3, [1, 3])], "media_id long, frame long, h array<int>")
+    assert [r.kind for r in gates.scenes(h, "h").orderBy("frame").collect()] == ["still", "cut", "plain"]
