@@ -64,6 +64,22 @@ def link_fragments(spans: DataFrame, keys: DataFrame, most_gap: int) -> DataFram
     return with_end_boxes(spans, keys).groupBy("media_id", "label").applyInPandas(run, "media_id long, label string, track_id long, span_no long, chain int")
 
 
+def merge_chunks(pieces: DataFrame, least: float = 0.3) -> DataFrame:
+    """(media_id, label, chunk, piece, object) of tracks that were found chunk by chunk, each with some frames of the next.
+
+    ``pieces`` are (media_id, label, chunk, piece, start_frame, end_frame, keys); a medium's label is a group, which a recording bounds.
+    """
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["chunk", "start_frame", "piece"])
+        rows = [(int(r.chunk), int(r.start_frame), int(r.end_frame), sorted((int(k["frame"]), *(float(k[c]) for c in "xywh")) for k in r.keys)) for r in pdf.itertuples()]
+        return pd.DataFrame({"media_id": pdf["media_id"], "label": pdf["label"], "chunk": pdf["chunk"], "piece": pdf["piece"], "object": greedy.merge_chunks(rows, least)})
+
+    return pieces.groupBy("media_id", "label").applyInPandas(run, "media_id long, label string, chunk long, piece long, object int")
+
+
 def simplify_keys(keys: DataFrame, tolerance: float = 0.004) -> DataFrame:
     def run(pdf):
         import pandas as pd

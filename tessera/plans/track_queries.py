@@ -91,6 +91,17 @@ def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracks.link_fragments(spans(spark, sf_dir), keys(spark, sf_dir), 30)
 
 
+@query()
+def chunks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks cut into chunks of 400 frames that share 40 with the next, put together again."""
+    k = keys(spark, sf_dir)
+    first, last = F.floor(F.greatest(F.col("frame") - 40, F.lit(0)) / 400), F.floor(F.col("frame") / 400)
+    cut = k.withColumn("chunk", F.explode(F.sequence(first, last)))
+    key = F.array_sort(F.collect_list(F.struct("frame", *"xywh")))
+    pieces = cut.groupBy("media_id", "label", "chunk", F.col("track_id").alias("piece")).agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame"), key.alias("keys"))
+    return tracks.merge_chunks(pieces)
+
+
 @query()
 def simplified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyframes that a straight line between their neighbours does not give."""

@@ -110,3 +110,26 @@ def test_chains_are_those_of_a_search_over_all_tails():
         want.append(n)
     assert greedy.link(spans, 20, greedy.near_by_gap) == want
     assert len(set(want)) < len(want)
+
+
+def test_chunks_go_together_where_they_share_frames():
+    key = lambda x, *frames: [(f, x, 0.1, 0.2, 0.2) for f in frames]
+    a, b, far = key(0.1, 0, 110), key(0.1, 100, 210), key(0.7, 100, 210)
+    assert greedy.merge_chunks([(0, 0, 110, a), (1, 100, 210, b)]) == [0, 0]
+    assert greedy.merge_chunks([(0, 0, 110, a), (1, 100, 210, far)]) == [0, 1]
+    assert greedy.merge_chunks([(0, 0, 90, key(0.1, 0, 90)), (1, 100, 210, b)]) == [0, 1]
+    # One object takes one piece of a chunk, and the first to come has it; a third chunk goes on the second's part.
+    near = key(0.12, 100, 210)
+    assert greedy.merge_chunks([(0, 0, 110, a), (1, 100, 210, b), (1, 100, 210, near), (2, 200, 300, key(0.1, 200, 300))]) == [0, 0, 1, 0]
+    # A moving object is compared where it is, not where it began.
+    moving, goes_on = [(0, 0.0, 0.1, 0.2, 0.2), (100, 0.5, 0.1, 0.2, 0.2)], [(90, 0.45, 0.1, 0.2, 0.2), (150, 0.7, 0.1, 0.2, 0.2)]
+    assert greedy.merge_chunks([(1, 90, 150, goes_on), (0, 0, 100, moving)]) == [0, 0]
+    assert greedy.merge_chunks([]) == []
+
+
+def test_merged_chunks_as_a_table(spark):
+    rows = [(1, "face", c, p, s, e, [(f, x, 0.1, 0.2, 0.2) for f in (s, e)]) for c, p, s, e, x in ((0, 1, 0, 110, 0.1), (0, 2, 0, 110, 0.6), (1, 3, 100, 200, 0.62), (1, 4, 100, 200, 0.12))]
+    schema = "media_id long, label string, chunk long, piece long, start_frame long, end_frame long, keys array<struct<frame:long,x:double,y:double,w:double,h:double>>"
+    got = {r.piece: r.object for r in tracks.merge_chunks(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == got[4] != got[2] == got[3]
+    assert tracks.merge_chunks(spark.createDataFrame([], schema)).count() == 0
