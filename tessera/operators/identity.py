@@ -20,12 +20,15 @@ def best_cosines(queries: DataFrame, samples: DataFrame, least: float, block: in
 
     ``queries`` (subject, vec) are taken ``block`` at a time, and each block meets every row of ``samples`` (track_id, vec) where
     that row lies: a task holds one block and one batch, only pairs above ``least`` leave it, and nothing else is shuffled.
-    Unit vectors are expected; a null one meets nothing.
+    Where the cluster has a checkpoint folder, the pairs of a full block are written there before the next one is fetched, so the
+    driver holds one block whatever their number; without one all blocks stay with the plan.  Unit vectors are expected; a null
+    one meets nothing.
     """
     asked = queries.where("vec is not null").select("subject", "vec")
     known = samples.where("vec is not null").select("track_id", "vec")
     schema = "subject long, track_id long, similarity double"
     parts, held = [], []
+    written = samples.sparkSession.sparkContext.getCheckpointDir() is not None
 
     def of(rows: list) -> DataFrame:
         owners, matrix = np.array([r.subject for r in rows]), np.array([r.vec for r in rows], float)
@@ -47,12 +50,12 @@ def best_cosines(queries: DataFrame, samples: DataFrame, least: float, block: in
     for row in asked.toLocalIterator():
         held.append(row)
         if len(held) == block:
-            parts.append(of(held))
+            parts.append(of(held).checkpoint() if written else of(held))
             held = []
     if held or not parts:
         parts.append(of(held) if held else samples.sparkSession.createDataFrame([], schema))
-    if len(parts) > 64:
-        warnings.warn(f"{len(parts)} passes over the samples; ask fewer vectors at once", stacklevel=2)
+    if len(parts) > 64 and not written:
+        warnings.warn(f"{len(parts)} blocks of queries stay on the driver; name a folder in spark.checkpoint.dir", stacklevel=2)
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)

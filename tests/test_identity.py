@@ -12,7 +12,7 @@ def unit(*v):
     return [float(x) for x in v / np.linalg.norm(v)]
 
 
-def test_search_in_blocks_is_the_search_in_one(spark):
+def test_search_in_blocks_is_the_search_in_one(spark, tmp_path):
     rng = np.random.default_rng(3)
     vecs = [unit(*rng.normal(size=6)) for _ in range(60)]
     samples = spark.createDataFrame([(k // 3, k, v) for k, v in enumerate(vecs)] + [(50, 99, None)], VEC)
@@ -23,7 +23,9 @@ def test_search_in_blocks_is_the_search_in_one(spark):
             s = float(np.dot(vecs[i], vecs[j]))
             if i // 3 != j // 3 and s >= 0.363:
                 want[i // 3, j // 3] = max(s, want.get((i // 3, j // 3), -1))
-    for block in (4, 4096):
+    for block, folder in ((4, False), (4096, False), (4, True), (5, True)):
+        if folder:
+            spark.sparkContext.setCheckpointDir(str(tmp_path))
         got = {(r.subject, r.track_id): r.similarity for r in identity.best_cosines(queries, samples, 0.363, block).collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert identity.best_cosines(queries.where("false"), samples, 0.363).count() == 0
