@@ -19,6 +19,7 @@ likely; with no tokens all rates stay 1; an empty table gives no row.  Columns o
 from __future__ import annotations
 
 import math
+import operator
 import warnings
 import zlib
 from collections.abc import Callable
@@ -49,17 +50,18 @@ def describer() -> Callable[[str | None], tuple[int, np.ndarray]]:
         words = t.split()
         n, m = len(words), max(1, len(t))
         lines = [x for x in t.split("\n") if x]
-        again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        again = sum(map(operator.eq, words, words[1:]))
+        distinct = set(words)
         upper = sum(map(str.isupper, words))
         marks = [t.count(c) / m for c in "!|.,"]
         hits = insults.figures(t)[0] if n else 0.0
         places = np.zeros(WORDS)
         if n:
-            crc = zlib.crc32
-            places[np.fromiter((crc(w.encode("utf-8", "surrogatepass")) for w in set(words)), np.int64) % WORDS] = 1
+            as_bytes = " ".join(distinct).encode("utf-8", "surrogatepass").split(b" ")
+            places[np.fromiter(map(zlib.crc32, as_bytes), np.int64, len(as_bytes)) % WORDS] = 1
             places /= max(1.0, places.sum() ** 0.5)
         style = [
-            1.0, math.log1p(n) / 10, m / max(1, n) / 10, upper / max(1, n), again / max(1, n), len(set(words)) / max(1, n),
+            1.0, math.log1p(n) / 10, m / max(1, n) / 10, upper / max(1, n), again / max(1, n), len(distinct) / max(1, n),
             1 - len(set(lines)) / max(1, len(lines)), *(min(1.0, 20 * x) for x in marks), sum(t.count(d) for d in "0123456789") / m,
             float(t.isascii()), min(1.0, hits), min(1.0, 20 * hits / max(1, n)), len(lines) / max(1, n),
         ]

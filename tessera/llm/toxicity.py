@@ -50,10 +50,25 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 FULLWIDTH = {chr(0xFF01 + k): chr(0x21 + k) for k in range(94)}
 
-_fold = str.maketrans(HOMOGLYPHS | FULLWIDTH)
+# In this order: what a full-width sign becomes is not read again as a sign that stands for a letter.
+_signs = {c: HOMOGLYPHS[c] for c in "@$"} | HOMOGLYPHS | FULLWIDTH
 _digits = str.maketrans(DIGITS)
 _mixed = re.compile(r"(?<![\d])(?=\w*[^\W\d_])\w*\d\w*")
 _gap = re.compile(r"[\W_]+")
+_ascii_gap = {c: " " for c in range(128) if not chr(c).isalnum()}
+MANY_SIGNS = 64  # above so many distinct signs one pass with a pattern is cheaper than one pass for each
+
+
+def _spaced(t: str) -> str:
+    """The runs of letters and digits, a space between them: what ``_gap`` gives."""
+    if t.isascii():
+        return " ".join(t.translate(_ascii_gap).split())
+    others = [c for c in set(t) if not c.isalnum()]
+    if len(others) > MANY_SIGNS:
+        return _gap.sub(" ", t).strip()
+    for c in others:
+        t = t.replace(c, " ")
+    return " ".join(t.split())
 
 
 def fold(text: str | None) -> str:
@@ -63,10 +78,15 @@ def fold(text: str | None) -> str:
     """
     t = (text or "").lower()
     t = unicodedata.normalize("NFC", t) if not t.isascii() and not unicodedata.is_normalized("NFC", t) else t
-    t = t.translate(_fold)
+    if t.isascii():
+        t = t.replace("@", HOMOGLYPHS["@"]).replace("$", HOMOGLYPHS["$"])
+    else:
+        held = set(t)
+        for c in filter(held.__contains__, _signs):  # a text holds few of them; a table for translate is asked for every letter
+            t = t.replace(c, _signs[c])
     if any(d in t for d in "013457"):
         t = _mixed.sub(lambda m: m[0].translate(_digits), t)
-    return f" {_gap.sub(' ', t).strip()} "
+    return f" {_spaced(t)} "
 
 
 class Matcher:
