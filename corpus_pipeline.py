@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, mixing, simhash, token_output, toxicity
-from tessera.llm.common import materialize, table
+from tessera.llm.common import bound_batches, materialize, table
 
 # What the mixing stage aims at: shares of the expected tokens by the labelled table's quality.
 QUALITY_DOMAINS = {"good": "quality = 1", "poor": "quality = 0"}
@@ -13,22 +13,27 @@ QUALITY_TARGETS = {"good": 0.9, "poor": 0.1}
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return simhash.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return mixing.mix(docs, table(spark, sf_dir, "labels"), QUALITY_TARGETS, QUALITY_DOMAINS)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
     return token_output.tokens_on_disk(docs)
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, slices
+from .common import discard, map_arrow, materialize, slices
 
 RATE = 0.1
 BLOCK_CHARS = 4_000_000
@@ -163,7 +163,7 @@ def leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: in
     found = None
     for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded by the block's size
-        part = rows.mapInArrow(_finder(shared, rate), FOUND)
+        part = map_arrow(rows, _finder(shared, rate), FOUND)
         if n > 1:
             part = materialize(part, "leaks")
             shared.destroy()
@@ -199,7 +199,7 @@ def drop_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, block_char
                 text = b.column(b.schema.names.index("text")).to_pylist()
                 yield b.filter(pa.array([not search(t) for t in text], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
         if k + 1 < n:
             docs = materialize(docs, "decontaminated")
             shared.destroy()

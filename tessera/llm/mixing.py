@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import map_rows, materialize, slices
+from .common import map_arrow, map_rows, materialize, slices
 from .toxicity import Matcher, SEED
 
 TRAIN_ROWS = 8_000
@@ -188,7 +188,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domains:
                 n, p = f(b.column(b.schema.names.index("text")).to_pylist())
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(p, pa.list_(pa.float64()))], [*b.schema.names, "n_tokens ", "p "])
 
-    beside = materialize(docs.mapInArrow(run, schema), "posteriors")
+    beside = materialize(map_arrow(docs, run, schema), "posteriors")
     steps = fit_rates(beside.select(F.col("n_tokens ").alias("n_tokens"), F.col("p ").alias("p")), [targets[d] for d in domains])
     row = F.concat_ws(":", F.lit("mix"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
     times = F.floor(folded(steps, "p ") + F.crc32(row) / 2**32).cast("int")

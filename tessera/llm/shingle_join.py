@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, join_skewed, map_rows, materialize
+from .common import discard, join_skewed, map_arrow, map_rows, materialize
 from .components import connected_components
 
 BANDS, ROWS = 48, 6
@@ -171,7 +171,7 @@ def candidates(met: DataFrame, sizes: DataFrame, similar: float, most: int, ever
         if rest is not None and len(rest[0]):
             yield from pairs(rest)
 
-    return tasks.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n", "key").mapInArrow(search, "a long, b long").distinct()
+    return map_arrow(tasks.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n", "key"), search, "a long, b long").distinct()
 
 
 def shared_only(dealt: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def shared_only(dealt: DataFrame) -> DataFrame:
         if carried:
             yield rest
 
-    return dealt.repartition("k").sortWithinPartitions("k").mapInArrow(search, "k long, key long, n int, fp long")
+    return map_arrow(dealt.repartition("k").sortWithinPartitions("k"), search, "k long, key long, n int, fp long")
 
 
 def holding(texts: DataFrame, need: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def holding(texts: DataFrame, need: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(known[batch.column(1).to_numpy() % BITS]))
 
-    return texts.select("text", "th").mapInArrow(run, "text string, th long")
+    return map_arrow(texts.select("text", "th"), run, "text string, th long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similar: float) -> DataFrame:

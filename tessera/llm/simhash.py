@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_skewed, map_rows, materialize
+from .common import join_skewed, map_arrow, map_rows, materialize
 from .components import connected_components
 from .shingle_join import similar_groups
 
@@ -254,7 +254,7 @@ def link_distinct(fps: DataFrame, distance: int = DISTANCE, blocks: int = 6, mos
             yield got
 
     dealt_out = tasks.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return dealt_out.mapInArrow(search, "a long, b long")
+    return map_arrow(dealt_out, search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE, blocks: int = 6, most: int = 4096) -> DataFrame:

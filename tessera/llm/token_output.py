@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, slices, worker_state
+from .common import fresh_path, map_arrow, materialize, slices, worker_state
 
 FOOTER = "<8sIQQQqQQII"
 FOOTER_SIZE = struct.calcsize(FOOTER)
@@ -259,7 +259,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
         out.close()
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(until)], "n_ids": [total]})
 
-    found = materialize(rows.mapInArrow(shards, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
+    found = materialize(map_arrow(rows, shards, "shard long, path string, n_docs long, n_ids long"), "token-manifest")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # a row per shard, not per document
     return found.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
@@ -317,7 +317,7 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                     raise ValueError(f"the ids of {path} are damaged")
 
     n = max(1, manifest.count())
-    return manifest.select("path", "base").repartition(n).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(manifest.select("path", "base").repartition(n), documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def tokenizer_file() -> str:

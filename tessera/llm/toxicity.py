@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, slices
+from .common import discard, map_arrow, map_rows, materialize, slices
 
 TRAIN_ROWS = 8_000
 THRESHOLD = 0.7
@@ -266,4 +266,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
         for b in (part for whole in batches for part in slices(whole)):
             yield b.filter(pa.array([f(t) < THRESHOLD for t in b.column(b.schema.names.index("text")).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
