@@ -215,6 +215,39 @@ def test_html_main_text(spark):
     assert html_text.extract(pages.where("false")).count() == 0
 
 
+def test_html_drops_only_menus(spark):
+    long = "A paragraph of the text that is long enough to surge by itself, with several clauses in it and an end."
+    links = lambda *names: "<ul>" + "".join(f"<li><a href=/{n}>{n}</a></li>" for n in names) + "</ul>"
+    text = lambda *parts: html_text.main_text("<body>" + "".join(parts) + "</body>").split("\n")
+    p = f"<div><p>{long}</p></div>"
+    # No marks: what stands alone between or behind menus, or is too short to surge, stays.
+    assert text(links("Home", "News", "Sport"), p, links("One", "Two", "Three"), "<div><p>The end.</p></div>", links("Four", "Five")) == [long, "The end."]
+    cells = [str(k * j) for k in range(4) for j in (1, 10)]
+    table = "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in zip(cells[::2], cells[1::2])) + "</table>"
+    assert text(p, table, p, "<h2>Needed</h2><ul><li>flour</li><li>eggs</li></ul>") == [long, *cells, long, "Needed", "flour", "eggs"]
+    assert text("<h1>Title</h1>", links("Home", "News"), p, "<div>By somebody</div>") == ["Title", long, "By somebody"]
+    assert text(p, '<p>A note |</p><div class="ad">Buy</div><p><a href=/x>One paper</a></p>') == [long, "A note |", "One paper"]
+    assert text(f"<div><p>{long}</p>{links('A', 'B', 'C', 'D')}<p>{long}</p></div>", links("E", "F")) == [long, "A", "B", "C", "D", long]
+    assert text(p, "<p><a name=k>A name</a></p>" * 4, "<p>Caf&eacute; <a href=/x>" + "&eacute;" * 9 + "</a></p>") == [long, *["A name"] * 4, "Café " + "é" * 9]
+    # Menus go, with their labels and what follows the last of them.
+    assert text("<div>Site</div>", links("Home", "News"), p, "<h3>Related</h3>", links("One", "Two"), "<div>Foot</div>") == [long]
+    assert text(p, "<div><a href=/a>Home</a> | <a href=/b>News</a></div>") == [long]
+    verse = [f"verse {k}" for k in range(9)]
+    assert text(p, links("One", "Two"), *(f"<div>{v}</div>" for v in verse)) == [long, *verse]
+    # Marks on a small part do not take the rest away; an article that holds most of the page leaves out boxes, not paragraphs.
+    assert text('<h1 class="post-title">Title</h1>', p, "<p>And so on</p>") == ["Title", long, "And so on"]
+    assert text(f"<div>{long}</div>", f"<div>{long}</div>", f'<article class="teaser"><p>{long}</p></article>') == [long] * 3
+    assert text("<article><p>One</p></article>", "<p>Two</p>") == ["One", "Two"]
+    article = f"<article>{p * 3}<p>x</p></article>"
+    outside = text("<div>Site</div>", links("Home", "News"), "<div>An advert, as no class tells.</div><h1>Title</h1>", article, "<p>Then more.</p><ul><li>flour</li></ul>", "<div>Tags</div>", f"<div>(c) {long}</div>")
+    assert outside == ["Title", long, long, long, "x", "Then more.", "flour"]
+    assert text(article, f"<h2>On</h2><div>{long}</div><div>short</div><div>{long}</div>") == [long, long, long, "x", "On", long, "short", long]
+    # The given pages hold the same text with their article's marks taken away.
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        assert html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>")) == html_text.main_text(r.html), r.page_id
+
+
 def test_url_rules_and_propagation(spark):
     link = '<a href="http://{}/x">x</a>'
     rows = [
